@@ -1,0 +1,19 @@
+"""Queries of the training-data operators over the project's tables."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tracklattice.llm import tokens
+from tracklattice.session import table
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the ids of every document by the byte-level BPE of 50k tokens."""
+    return tokens.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_ids": p6_ids}
+ORACLES: dict[str, str] = {}
