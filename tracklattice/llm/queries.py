@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracklattice.llm import tokens
+from tracklattice.llm import neighbours, tokens
 from tracklattice.session import table
 
 
@@ -15,5 +16,17 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p6_ids": p6_ids}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a cosine of at least 0.97 in which one row is among the five most similar of the other, by either vector."""
+    src = table(spark, sf_dir, "track_features")
+    both = None
+    for kind, column in (("embed", "embed_vector"), ("unified", "unified_vector")):
+        pairs = neighbours.nearest_pairs(src, "track_index", column, k=5, least=0.97, dim=64, label=kind)
+        both = pairs if both is None else both.unionByName(pairs)
+    return both.select(
+        F.col("kind").alias("vector_kind"), F.least("a", "b").alias("track_index_a"), F.greatest("a", "b").alias("track_index_b")
+    ).distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p6_ids": p6_ids}
 ORACLES: dict[str, str] = {}
