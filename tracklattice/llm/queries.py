@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklattice.llm import neighbours, tokens
+from tracklattice.llm import clusters, neighbours, tokens
 from tracklattice.session import table
 
 
@@ -28,5 +28,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p6_ids": p6_ids}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members of each cluster of unified_vector with the cluster's medoid."""
+    got = clusters.similarity_clusters(table(spark, sf_dir, "track_features"), "track_index", "unified_vector", dim=64)
+    return got.select("medoid_index", "member_index")
+
+
+def p5_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and five most typical members of each cluster."""
+    return clusters.typical_members(clusters.similarity_clusters(table(spark, sf_dir, "track_features"), "track_index", "unified_vector", dim=64))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids}
 ORACLES: dict[str, str] = {}
