@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklattice.llm import clusters, neighbours, tokens
-from tracklattice.session import table
+from tracklattice.llm import canonical, clusters, neighbours, tokens
+from tracklattice.session import materialise, table
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +28,24 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def genre_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the three genre columns that are neither null nor blank, with their place in the array."""
+    out = None
+    for name, key, column in (("playlist_tracks", "row_id", "genres"), ("registry_enrichment", "row_id", "all_genres"), ("dj_taxonomy_category", "category_no", "source_genres")):
+        part = table(spark, sf_dir, name).select(F.lit(name).alias("source_table"), F.col(key).cast("long").alias("row_id"), F.posexplode(column).alias("pos", "value"))
+        out = part if out is None else out.unionByName(part)
+    return out.where(F.col("value").isNotNull() & ~F.col("value").rlike(r"^[\s\p{Z}\p{Cf}]*$")).withColumn("pos", F.col("pos").cast("long"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genre of the reference that each freely entered genre means, or -1."""
+    reference = table(spark, sf_dir, "genre_reference")
+    names = F.broadcast(reference.select(F.col("genre").alias("value")).distinct())  # the reference list is fixed
+    entries = genre_entries(spark, sf_dir).join(names, "value", "left_anti")
+    mapping = materialise(canonical.map_values(entries.select("value"), reference, "genre_id", "genre", "aliases"), "genres")
+    return canonical.apply_mapping(entries, mapping).select("source_table", "row_id", "pos", F.col("entry").alias("genre_id"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of each cluster of unified_vector with the cluster's medoid."""
     got = clusters.similarity_clusters(table(spark, sf_dir, "track_features"), "track_index", "unified_vector", dim=64)
@@ -39,5 +57,5 @@ def p5_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.typical_members(clusters.similarity_clusters(table(spark, sf_dir, "track_features"), "track_index", "unified_vector", dim=64))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids}
 ORACLES: dict[str, str] = {}
