@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklattice.llm import canonical, clusters, neighbours, tokens
+from tracklattice.llm import canonical, clusters, leaks, neighbours, tokens
 from tracklattice.session import materialise, table
 
 
@@ -57,5 +57,11 @@ def p5_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.typical_members(clusters.similarity_clusters(table(spark, sf_dir, "track_features"), "track_index", "unified_vector", dim=64))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation items and the documents that hold at least half of their text."""
+    got = leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return got.where(F.col("kind") == "passage").select("item_id", "doc_id").distinct()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found}
 ORACLES: dict[str, str] = {}
