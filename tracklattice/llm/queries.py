@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklattice.llm import canonical, clusters, leaks, neighbours, tokens
+from tracklattice.llm import canonical, clusters, leaks, neighbours, sentences, tokens
 from tracklattice.session import materialise, table
 
 
@@ -63,5 +63,11 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where(F.col("kind") == "passage").select("item_id", "doc_id").distinct()
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of all sentences of all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return sentences.split_sentences(docs, sentences.learn(docs)).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
