@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklattice.llm import canonical, clusters, leaks, neighbours, sentences, tokens
+from tracklattice.llm import canonical, clusters, leaks, neighbours, representatives, sentences, tokens
 from tracklattice.session import materialise, table
 
 
@@ -16,6 +16,28 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best key and tempo of each group of records of one recording."""
+    src = table(spark, sf_dir, "registry_enrichment")
+    bundles = {"k": [representatives.key_value()], "b": [representatives.tempo_value()]}
+    best = representatives.best_records(src, representatives.record_groups(src), bundles)
+    return best.select(
+        F.col("id").alias("row_id"), F.coalesce(F.col("k")[0], F.lit("")).alias("canonical_key"), F.coalesce(F.col("b")[0].cast("long"), F.lit(0).cast("long")).alias("canonical_bpm")
+    )
+
+
+def p1_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Representatives with further bundles: mood values belong together, and so do the main genre and the list it opens."""
+    src = table(spark, sf_dir, "registry_enrichment")
+    number = lambda c: F.when(F.col(c).rlike("^[01]([.][0-9]+)?$"), F.col(c))
+    genre = F.when(F.trim("primary_genre") != "", F.trim("primary_genre"))
+    bundles = {
+        "canonical_key": [representatives.key_value()], "canonical_bpm": [representatives.tempo_value()], "mood": [number("danceability"), number("valence")],
+        "main_genre": [genre], "genres": [F.when(F.size("all_genres") > 0, F.array_join("all_genres", "; "))],
+    }
+    return representatives.best_records(src, representatives.record_groups(src), bundles, dependencies=(("main_genre", "genres"),)).withColumnRenamed("id", "row_id")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a cosine of at least 0.97 in which one row is among the five most similar of the other, by either vector."""
     src = table(spark, sf_dir, "track_features")
@@ -69,5 +91,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(docs, sentences.learn(docs)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_bundles": p1_bundles, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
