@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklattice.llm import canonical, clusters, leaks, neighbours, representatives, sentences, tokens
+from tracklattice.llm import canonical, clusters, leaks, linkage, neighbours, representatives, sentences, tokens
 from tracklattice.session import materialise, table
 
 
@@ -68,6 +68,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical.apply_mapping(entries, mapping).select("source_table", "row_id", "pos", F.col("entry").alias("genre_id"))
 
 
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of playlist rows and files with the confidence that they are one recording."""
+    return linkage.linked_pairs(table(spark, sf_dir, "playlist_tracks"), table(spark, sf_dir, "file_entries"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of playlist rows and files of one recording."""
+    return p4_links(spark, sf_dir).where((F.col("confidence") >= 0.5) & F.col("exact")).select("row_id", "file_no")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members of each cluster of unified_vector with the cluster's medoid."""
     got = clusters.similarity_clusters(table(spark, sf_dir, "track_features"), "track_index", "unified_vector", dim=64)
@@ -91,5 +101,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(docs, sentences.learn(docs)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_bundles": p1_bundles, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_bundles": p1_bundles, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
