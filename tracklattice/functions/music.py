@@ -45,3 +45,45 @@ def tempo(bpm: Column, low: float = 40.0, high: float = 250.0) -> Column:
     text = F.regexp_replace(F.trim(F.regexp_replace(F.lower(bpm), r"\s*(bpm|beats per minute)\.?\s*$", "")), ",", ".")
     number = F.expr("try_cast(null as double)") if bpm is None else F.when(text.rlike(r"^\+?[0-9]+(\.[0-9]+)?$"), text.cast("double"))
     return F.when(number.between(low, high), number)
+
+
+def is_wheel_code(key: Column) -> Column:
+    """A wheel code as it should be stored: 1 to 12 and A or B."""
+    return F.coalesce(key.rlike("^(1[0-2]|[1-9])[AB]$"), F.lit(False))
+
+
+def wheel_number(code: Column) -> Column:
+    return F.regexp_extract(code, r"^(\d+)", 1).cast("int")
+
+
+def wheel_position(code: Column) -> Column:
+    """0 to 23 in playing order, null for no key."""
+    return F.when(is_wheel_code(code), (wheel_number(code) - 1) * 2 + F.when(code.endswith("B"), 1).otherwise(0))
+
+
+def wheel_distance(a: Column, b: Column) -> Column:
+    """Steps round the wheel plus one for another mode; null where a key is unknown."""
+    gap = F.abs(wheel_number(a) - wheel_number(b))
+    return F.when(is_wheel_code(a) & is_wheel_code(b), F.least(gap, 12 - gap) + F.when(F.right(a, F.lit(1)) != F.right(b, F.lit(1)), 1).otherwise(0))
+
+
+#: lower ends of the tempo buckets, each up to the next
+TEMPO_BUCKETS = [0, 90, 105, 115, 122, 128, 135, 146, 160, 180]
+
+
+def tempo_bucket(bpm: Column) -> Column:
+    """Label of the half-open tempo bucket."""
+    out = F.lit(None).cast("string")
+    ends = [*TEMPO_BUCKETS[1:], None]
+    for low, high in zip(TEMPO_BUCKETS, ends):
+        label = f"{low:03d}-{high:03d}" if high else f"{low:03d}+"
+        hit = bpm >= low if high is None else (bpm >= low) & (bpm < high)
+        out = F.when(hit, F.lit(label)).otherwise(out)
+    return out
+
+
+def key_bucket(code: Column) -> Column:
+    """Two neighbouring wheel numbers of one mode, starting at an odd one."""
+    n = wheel_number(code)
+    low = n - F.when(n % 2 == 0, 1).otherwise(0)
+    return F.when(is_wheel_code(code), F.format_string("%02d-%02d%s", low, low + 1, F.right(code, F.lit(1))))
