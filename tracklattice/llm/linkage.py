@@ -1,7 +1,8 @@
 """Probabilistic linkage of playlist rows and files of one recording, without a shared key.
 
-Both sides become sets of words, set right against the words of both tables. Candidates meet in several blocking passes (pairs of
-title words, and pairs of a title word and a word of the main artist). Agreement levels of title, artist, version, further words and
+Both sides become sets of words, set right against the words of both tables. Candidates of one kind of version meet in three
+blocking passes: by all words of title and version together, by any three words of title and main artist of which two are the
+title's, and by a title word with two words of the artist and the duration. Agreement levels of title, artist, version, further words and
 duration are counted as patterns; expectation maximisation estimates how likely matches and non-matches show each level, and
 the posterior of a pair's pattern is its confidence.
 """
@@ -61,13 +62,17 @@ def title_parts(name: str | None) -> tuple[list[str], list[str], list[str]]:
     return title, version, credits
 
 
-def artist_parts(artists: list[str] | None) -> tuple[list[str], list[str]]:
-    """(words of the main artist, words of all artists); the main one is named first, "Last, First" is one name."""
+def artist_parts(artists: list[str] | None) -> tuple[list[str], list[str], list[str]]:
+    """(words of the main artist, words of all artists, names written as one word); the main one is named first, "Last, First" is one name."""
     said = [fold(a) for a in artists if a and a.strip()] if artists is not None else []
     each = [x for a in said for x in re.split(r"\s*(?:&|;|/|\bfeat\b\.?|\bft\b\.?|\bx\b)\s*", a) if x]
     every = [w for x in each for w in words(x) if w != "the"]
+    joined = []
+    for x in each:
+        w = [v for v in words(x) if v != "the"]
+        joined += ["".join(w), "".join(reversed(w))] if len(w) > 1 else []
     main = [w for w in words(each[0]) if w != "the"] if each else []
-    return main, every
+    return main, every, sorted(set(joined))
 
 
 def _seconds(c: Column) -> Column:
@@ -81,27 +86,26 @@ def _playlist(df: DataFrame, id_col: str, name: str, artists: str, duration: str
             out = []
             for n, a in zip(pdf["n"], pdf["a"]):
                 t, v, c = title_parts(n)
-                main, every = artist_parts(a)
-                out.append((t, v[:1], v[1:], main, sorted({*every, *c})))
-            new = pd.DataFrame(out, columns=["t", "kind", "v", "m", "g"])
+                main, every, joined = artist_parts(a)
+                out.append((t, v[:1], v[1:], main, sorted({*every, *c}), joined))
+            new = pd.DataFrame(out, columns=["t", "kind", "v", "m", "g", "j"])
             yield pd.concat([pdf[["id", "d"]].reset_index(drop=True), new], axis=1)
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(name).alias("n"), F.col(artists).alias("a"), F.col(duration).cast("double").alias("d"))
     words_of = "array<string>"
-    return src.mapInPandas(run, f"id long, d double, t {words_of}, kind {words_of}, v {words_of}, m {words_of}, g {words_of}").withColumn("d", _seconds(F.col("d")))
+    return src.mapInPandas(run, f"id long, d double, t {words_of}, kind {words_of}, v {words_of}, m {words_of}, g {words_of}, j {words_of}").withColumn("d", _seconds(F.col("d")))
 
 
 def _files(df: DataFrame, id_col: str, title_tokens: str, all_tokens: str, duration: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for a, b in zip(pdf["x"], pdf["y"]):
-                said = [*(a if a is not None else []), *(b if b is not None else [])]
-                out.append(sorted({w for x in said if x for w in words(x) if not w.isdigit() or len(w) > 3}))
-            yield pd.DataFrame({"id": pdf["id"], "d": pdf["d"], "w": out})
+            clean = lambda said: sorted({w for x in (said if said is not None else []) if x for w in words(x) if not w.isdigit() or len(w) > 3})
+            title = [clean(a) for a in pdf["x"]]
+            every = [sorted({*a, *clean(b)}) for a, b in zip(title, pdf["y"])]
+            yield pd.DataFrame({"id": pdf["id"], "d": pdf["d"], "w": every, "wt": title})
 
     src = df.select(F.col(id_col).cast("long").alias("id"), F.col(title_tokens).alias("x"), F.col(all_tokens).alias("y"), F.col(duration).cast("double").alias("d"))
-    return src.mapInPandas(run, "id long, d double, w array<string>").withColumn("d", _seconds(F.col("d")))
+    return src.mapInPandas(run, "id long, d double, w array<string>, wt array<string>").withColumn("d", _seconds(F.col("d")))
 
 
 def _right(rows: DataFrame, fields: list[str], fixes: DataFrame) -> DataFrame:
@@ -168,32 +172,48 @@ def linked_pairs(
     # words that stand often enough to be names or title words of their own; the rest may be misspelt
     known = counts.where(F.col("n") >= 5).select("word").withColumn("known", F.lit(1))
 
-    p = p0.select("id", "d", F.coalesce(F.get("kind", F.lit(0)), F.lit("")).alias("kind")).join(_right(p0, fields, fixes), "id").where(F.size("t") > 0)
-    p = p.withColumn("p", F.xxhash64("t", "v", "kind", "m", "g", F.coalesce("d", F.lit(-1.0))))
-    f = f0.select("id", "d").join(_right(f0, ["w"], fixes), "id")
+    p = p0.select("id", "d", "j", F.coalesce(F.get("kind", F.lit(0)), F.lit("")).alias("kind")).join(_right(p0, fields, fixes), "id").where(F.size("t") > 0)
+    p = p.withColumn("p", F.xxhash64("t", "v", "kind", "m", "g", "j", F.coalesce("d", F.lit(-1.0))))
+    f = f0.select("id", "d").join(_right(f0, ["w", "wt"], fixes), "id")
     raw = F.array_except("w", skip)
     f = f.select(
-        "id", "d", F.array_except(raw, marks).alias("w"), F.arrays_overlap("w", F.array(*[F.lit(w) for w in sorted(REMIX)])).alias("remix"),
+        "id", "d", F.array_except(raw, marks).alias("w"), F.array_except(F.array_except("wt", skip), marks).alias("wt"), F.arrays_overlap("w", F.array(*[F.lit(w) for w in sorted(REMIX)])).alias("remix"),
         F.array_contains("w", "live").alias("live"), F.arrays_overlap("w", F.array(F.lit("feat"), F.lit("ft"), F.lit("featuring"))).alias("feat"),
     )
-    f = f.withColumn("kind", F.when(F.col("remix"), "remix").when(F.col("live"), "live").otherwise("")).withColumn("f", F.xxhash64("w", "kind", "feat", F.coalesce("d", F.lit(-1.0))))
+    f = f.withColumn("kind", F.when(F.col("remix"), "remix").when(F.col("live"), "live").otherwise("")).withColumn("f", F.xxhash64("w", "wt", "kind", "feat", F.coalesce("d", F.lit(-1.0))))
     p, f = materialise(p, "p"), materialise(f.drop("remix", "live"), "f")
-    pc = p.groupBy("p").agg(*[F.first(c).alias(c) for c in ("t", "v", "kind", "m", "g", "d")])
-    fc = f.groupBy("f").agg(*[F.first(c).alias(c) for c in ("w", "kind", "feat", "d")])
-
-    def pair_keys(a: Column, b: Column) -> Column:
-        both = F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y != x), lambda y: F.xxhash64(F.least(x, y), F.greatest(x, y)))))
-        return F.array_distinct(both)
-
-    left = pc.select("p", F.explode(F.array_union(pair_keys(F.col("t"), F.col("t")), pair_keys(F.col("t"), F.col("m")))).alias("key"))
-    right = fc.select("f", F.explode(pair_keys(F.col("w"), F.col("w"))).alias("key"))
-    met = left.join(right, "key").select("p", "f").distinct()
-    both = met.join(pc, "p").join(fc.select("f", "w", F.col("kind").alias("f_kind"), "feat", F.col("d").alias("f_d")), "f").where(F.col("kind") == F.col("f_kind"))
+    pc = p.groupBy("p").agg(*[F.first(c).alias(c) for c in ("t", "v", "kind", "m", "g", "j", "d")])
+    fc = f.groupBy("f").agg(*[F.first(c).alias(c) for c in ("w", "wt", "kind", "feat", "d")])
+
+    def triples(words_of: Column, title: Column | None) -> Column:
+        """Hashes of all sets of three words (sorted), at least two of them from title."""
+        w = F.array_sort(words_of)
+        place = F.sequence(F.lit(0), F.size(w) - 1)
+        every = F.flatten(F.transform(place, lambda i: F.flatten(F.transform(F.filter(place, lambda j: j > i), lambda j: F.transform(F.filter(place, lambda k: k > j), lambda k: F.array(w[i], w[j], w[k]))))))
+        if title is not None:
+            every = F.filter(every, lambda x: F.size(F.array_intersect(x, title)) >= 2)
+        return F.when(F.size(w) >= 3, F.transform(every, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
+
+    whole_p = F.xxhash64(F.lit("whole"), F.array_sort(F.array_union("t", "v")))
+    whole_f = F.array_distinct(F.array(F.xxhash64(F.lit("whole"), F.array_sort("w")), F.xxhash64(F.lit("whole"), F.array_sort("wt"))))
+    def timed(title: Column, artist: Column, buckets: list[Column]) -> Column:
+        """Hashes of a title word, two words of the artist and a stretch of the duration."""
+        a = F.array_sort(artist)
+        place = F.sequence(F.lit(0), F.size(a) - 1)
+        pairs = F.flatten(F.transform(place, lambda i: F.transform(F.filter(place, lambda j: j > i), lambda j: F.array(a[i], a[j]))))
+        keys = F.flatten(F.transform(pairs, lambda x: F.flatten(F.transform(title, lambda t: F.array(*[F.xxhash64(F.lit("timed"), x, t, b) for b in buckets])))))
+        return F.when(F.col("d").isNotNull() & (F.size(a) >= 2), keys).otherwise(F.array().cast("array<bigint>"))
+
+    bucket = F.floor(F.col("d") / (TOLERANCE + 1))
+    left = pc.select("p", "kind", F.explode(F.array_union(F.array_union(F.array(whole_p), triples(F.array_union("t", "m"), F.col("t"))), timed(F.col("t"), F.col("m"), [bucket - 1, bucket, bucket + 1]))).alias("key"))
+    right = fc.select("f", "kind", F.explode(F.array_union(F.array_union(whole_f, triples(F.col("w"), None)), timed(F.col("wt"), F.array_except("w", "wt"), [bucket]))).alias("key"))
+    met = left.join(right, ["key", "kind"]).select("p", "f").distinct()
+    both = met.join(pc, "p").join(fc.select("f", "w", "feat", F.col("d").alias("f_d")), "f")
 
     main_joined = F.array(F.array_join("m", ""), F.array_join(F.reverse("m"), ""))
     has_joined = F.arrays_overlap("w", main_joined) & (F.size("m") > 0)
     rest = F.array_except(F.array_except(F.array_except(F.array_except("w", "t"), "v"), "m"), main_joined)
-    unexplained = F.array_except(rest, "g")
+    unexplained = F.array_except(F.array_except(rest, "g"), "j")
     both = both.select(
         "p", "f", "feat", "kind",
         F.size("t").alias("n_t"), F.size(F.array_except("t", "w")).alias("t_miss"), F.size(F.array_except("v", "w")).alias("v_miss"),
