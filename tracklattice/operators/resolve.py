@@ -54,13 +54,14 @@ def majority_tempo(obs: DataFrame) -> DataFrame:
 def key_candidates(obs: DataFrame) -> DataFrame:
     """One row for each key observed for a track: base, score, best rank, rows, kinds of sources, place in the ranking."""
     votes = obs.select("track_id", camelot(F.col("key_camelot")).alias("key"), source(F.col("source_system")).alias("s"), F.coalesce("key_confidence", F.lit(0.0)).alias("c")).where("key is not null and track_id is not null")
-    weight = _by_source(F.col("s"), WEIGHTS, OTHER_WEIGHT)
+    # decimals: the sum is exact, whatever order partial sums meet in
+    weight = _by_source(F.col("s"), {k: f"{v:.2f}" for k, v in WEIGHTS.items()}, f"{OTHER_WEIGHT:.2f}").cast("decimal(4,2)")
     per_key = votes.groupBy("track_id", "key").agg(
-        F.sum(weight * F.col("c")).alias("base"), F.count("*").alias("n"), F.min(_by_source(F.col("s"), RANKS, OTHER_RANK)).alias("rank"),
+        F.sum(weight * F.col("c").cast("decimal(6,4)")).alias("base"), F.count("*").alias("n"), F.min(_by_source(F.col("s"), RANKS, OTHER_RANK)).alias("rank"),
         F.max(F.col("s").startswith("analysis_").cast("int")).alias("analysis"), F.max(F.col("s").isin("rekordbox", "songstats").cast("int")).alias("external"),
         F.array_join(F.array_sort(F.collect_set("s")), "+").alias("sources"),
     )
-    scored = per_key.withColumn("score", F.round(F.col("base") + (F.col("n") - 1) * AGREEMENT + F.col("analysis") * F.col("external") * CROSS_TYPE, 4))
+    scored = per_key.withColumn("score", F.round(F.col("base") + (F.col("n") - 1) * F.lit(f"{AGREEMENT}").cast("decimal(4,2)") + F.col("analysis") * F.col("external") * F.lit(f"{CROSS_TYPE}").cast("decimal(4,2)"), 4).cast("double"))
     w = Window.partitionBy("track_id").orderBy(F.desc("score"), "rank", "key")
     whole = Window.partitionBy("track_id")
     return (
@@ -86,7 +87,7 @@ def weighted_key(obs: DataFrame) -> DataFrame:
         F.when(resolved & ~conflict & (F.col("n") == 1), "single_source").when(resolved & ~conflict, "all_agree").when(resolved, "majority_or_score")
         .when(F.col("any_analysis") == 0, "no_analysis").when(conflict, "source_conflict").otherwise("low_confidence")
     )
-    share = F.when(F.col("total_base") > 0, F.round(F.col("base") / F.col("total_base"), 3)).otherwise(0.0)
+    share = F.when(F.col("total_base") > 0, F.round(F.col("base").cast("double") / F.col("total_base").cast("double"), 3)).otherwise(0.0)
     return top.select("track_id", "key", "score", share.alias("confidence"), "sources", resolved.alias("resolved"), reason.alias("reason"))
 
 
@@ -112,7 +113,7 @@ def review_queue(obs: DataFrame, top: int = 3) -> DataFrame:
     cands = key_candidates(obs).where(F.col("place") <= top)
     wide = cands.groupBy("track_id").agg(*[
         x for i in range(1, top + 1)
-        for x in (F.max(F.when(F.col("place") == i, F.col("key"))).alias(f"key_{i}"), F.max(F.when(F.col("place") == i, F.round("base", 4))).alias(f"score_{i}"))
+        for x in (F.max(F.when(F.col("place") == i, F.col("key"))).alias(f"key_{i}"), F.max(F.when(F.col("place") == i, F.round("base", 4).cast("double"))).alias(f"score_{i}"))
     ])
     priority = F.when(F.col("reason") == "source_conflict", "high").when(F.col("reason") == "no_analysis", "low").otherwise("medium")
     return open_.join(wide, "track_id").withColumn("priority", priority)

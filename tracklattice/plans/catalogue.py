@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tracklattice.plans import resolving  # noqa: F401
+from tracklattice.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+FLAGSHIP = "majority_tempo"
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
