@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklattice.plans import linking, resolving  # noqa: F401
+from tracklattice.plans import linking, resolving, sequences  # noqa: F401
 from tracklattice.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "majority_tempo"

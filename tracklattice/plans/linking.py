@@ -183,14 +183,14 @@ def set_ops_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT playlist, CAST(count(*) AS BIGINT) AS n, round(avg(duration_sec), 3) AS mean_sec, string_agg(DISTINCT label, '|' ORDER BY label) AS labels FROM (
+SELECT playlist, CAST(count(*) AS BIGINT) AS n, CAST(sum(CAST(duration_sec AS DECIMAL(18,6))) AS DOUBLE) AS total_sec, string_agg(DISTINCT label, '|' ORDER BY label) AS labels FROM (
   SELECT playlist, CASE WHEN duration_sec > 10000 THEN duration_sec / 1000 ELSE duration_sec END AS duration_sec, label FROM playlist_tracks WHERE trim(label) <> '') GROUP BY 1
 """)
 def playlist_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, mean duration and labels of each playlist; milliseconds are read as such."""
+    """Size, total duration and labels of each playlist; milliseconds are read as such."""
     p = table(spark, sf_dir, "playlist_tracks").where(F.trim("label") != "")
     d = F.when(F.col("duration_sec") > 10000, F.col("duration_sec") / 1000).otherwise(F.col("duration_sec"))
-    return p.groupBy("playlist").agg(F.count("*").alias("n"), F.round(F.avg(d), 3).alias("mean_sec"), F.array_join(F.array_sort(F.collect_set("label")), "|").alias("labels"))
+    return p.groupBy("playlist").agg(F.count("*").alias("n"), F.sum(d.cast("decimal(18,6)")).cast("double").alias("total_sec"), F.array_join(F.array_sort(F.collect_set("label")), "|").alias("labels"))
 
 
 @query("""
