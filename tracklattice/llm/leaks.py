@@ -3,7 +3,8 @@
 Both sides are folded and cut into words. Numbers and every word that few evaluation texts use (names, units, titles) become
 typed placeholders; the words that are left frame a template. Windows of template words are matched by hash against an index of
 the evaluation texts, and a matching window counts for an item only where the values in its slots agree: a question asked again
-with other values matches the template but not the slots. Items with agreeing windows are then aligned word by word.
+with other values matches the template but not the slots. Windows that
+agree word for word count for items that share no template. Items with agreeing windows are then aligned word by word.
 """
 
 from __future__ import annotations
@@ -56,11 +57,15 @@ class ItemIndex:
         self.codes: dict[str, int] = {}
         self.slots: dict[str, int] = {}
         self.index: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.verbatim: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.raw: dict[str, int] = {}
         self.grams: list[dict[tuple, list[int]]] = []
         for n, (_, t) in enumerate(self.items):
             wide = self.wide(t)
             for i, h in self.windows(t, WIDE_WINDOW if wide else WINDOW):
                 self.index[h].append((n, i))
+            for i, h in self.exact(t, WIDE_WINDOW if wide else WINDOW):
+                self.verbatim[h].append((n, i))
             k = 6 if wide else 3
             g: dict[tuple, list[int]] = defaultdict(list)
             for i in range(len(t) - k + 1):
@@ -92,13 +97,31 @@ class ItemIndex:
             return []
         c = np.array([self.code(w) for w in tokens], dtype=np.uint64)
         framed = np.convolve(c > 2, np.ones(size, dtype=int), "valid")
+        ok = np.flatnonzero((framed >= 2) & (framed < size))
+        return list(zip(ok.tolist(), self._rolled(c, size)[ok].tolist()))
+
+    @staticmethod
+    def _rolled(c: np.ndarray, size: int) -> np.ndarray:
         h = np.full(len(c) - size + 1, size, dtype=np.uint64)
         with np.errstate(over="ignore"):
             for k in range(size):
                 h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : len(c) - size + 1 + k]
                 h ^= h >> np.uint64(29)
-        ok = np.flatnonzero((framed >= 2) & (framed < size))
-        return list(zip(ok.tolist(), h[ok].tolist()))
+        return h
+
+    def exact(self, tokens: list[str], size: int) -> list[tuple[int, int]]:
+        """(place, hash) of all windows word for word: items whose wording is their own have no template to share."""
+        if len(tokens) < size:
+            return []
+        if len(self.raw) > 500_000:
+            self.raw.clear()
+        raw = self.raw
+        c = []
+        for w in tokens:
+            if w not in raw:
+                raw[w] = xxhash.xxh64_intdigest(w)
+            c.append(raw[w])
+        return list(enumerate(self._rolled(np.array(c, dtype=np.uint64), size).tolist()))
 
     def candidates(self, tokens: list[str]) -> dict[int, tuple[int, int]]:
         """For each item (windows whose slots agree, windows that match as templates)."""
@@ -114,7 +137,10 @@ class ItemIndex:
                     same = sum(tokens[j + k] == own[i + k] for k in slots)
                     if same >= max(1, len(slots) - (len(slots) > 2)):
                         agree[n].add(i)
-        return {n: (len(agree.get(n, ())), len(i)) for n, i in alike.items()}
+            for _, h in self.exact(tokens, size):
+                for n, i in self.verbatim.get(h, ()):
+                    agree[n].add(i)
+        return {n: (len(agree.get(n, ())), len(alike.get(n, ()))) for n in {*agree, *alike}}
 
     def align(self, n: int, tokens: list[str]) -> tuple[float, float]:
         """(share of the item's characters that the text holds in order, share of its slots there that agree)."""

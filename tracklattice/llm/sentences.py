@@ -92,7 +92,7 @@ def runs(text: str) -> list[tuple[int, int, bool]]:
         style = styles[k]
         item = False
         if style:
-            finished = prev_blank or (prev_item and styles[k - 1] == style) or (open_at >= 0 and _FINISHED.search(text[lines[k - 1][0] : lines[k - 1][1]]) is not None)
+            finished = prev_blank or prev_item or (open_at >= 0 and _FINISHED.search(text[lines[k - 1][0] : lines[k - 1][1]]) is not None)
             company = (prev_item and styles[k - 1] == style) or (k + 1 < len(lines) and styles[k + 1] == style) or style == 1 or (k + 1 == len(lines) or not text[slice(*lines[k + 1])].strip())
             item = finished and company
         if item:
