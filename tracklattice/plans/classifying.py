@@ -179,7 +179,7 @@ def classify_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT playlist, '#EXTM3U' || chr(10) || string_agg('#EXTINF:' || CAST(floor(coalesce(CASE WHEN duration_sec > 10000 THEN duration_sec / 1000 ELSE duration_sec END, -1)) AS BIGINT) || ',' || name || chr(10) || uri, chr(10) ORDER BY row_id) AS body FROM playlist_tracks GROUP BY 1
+SELECT playlist, '#EXTM3U' || chr(10) || string_agg('#EXTINF:' || CAST(floor(coalesce(CASE WHEN duration_sec > 10000 THEN duration_sec / 1000 ELSE duration_sec END, -1)) AS BIGINT) || ',' || name || chr(10) || uri, chr(10) ORDER BY row_id) AS body FROM playlist_tracks WHERE name IS NOT NULL AND uri IS NOT NULL GROUP BY 1
 """)
 def playlist_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Playlist files as text, one a playlist."""
