@@ -73,13 +73,9 @@ TEMPO_BUCKETS = [0, 90, 105, 115, 122, 128, 135, 146, 160, 180]
 
 def tempo_bucket(bpm: Column) -> Column:
     """Label of the half-open tempo bucket."""
-    out = F.lit(None).cast("string")
-    ends = [*TEMPO_BUCKETS[1:], None]
-    for low, high in zip(TEMPO_BUCKETS, ends):
-        label = f"{low:03d}-{high:03d}" if high else f"{low:03d}+"
-        hit = bpm >= low if high is None else (bpm >= low) & (bpm < high)
-        out = F.when(hit, F.lit(label)).otherwise(out)
-    return out
+    labels = [f"{low:03d}-{high:03d}" for low, high in zip(TEMPO_BUCKETS, TEMPO_BUCKETS[1:])] + [f"{TEMPO_BUCKETS[-1]:03d}+"]
+    reached = F.size(F.filter(F.array(*[F.lit(float(low)) for low in TEMPO_BUCKETS]), lambda low: low <= bpm))
+    return F.when(bpm >= TEMPO_BUCKETS[0], F.get(F.array(*[F.lit(x) for x in labels]), reached - 1))
 
 
 def key_bucket(code: Column) -> Column:

@@ -135,3 +135,42 @@ def activity(rows: DataFrame, key: str, time: str, width: str, value: str, floor
     """Rows (key, windows, active_share): share of the key's tumbling windows whose mean value is above a floor."""
     per = rows.groupBy(key, F.window(time, width).alias("w")).agg(F.avg(value).alias("m"))
     return per.groupBy(key).agg(F.count("*").alias("windows"), F.round(F.avg((F.col("m") > floor).cast("double")), 6).alias("active_share"))
+
+
+#: extra markers: name, the cue it hangs on, bars from it, bars of its loop (0: none)
+MARKERS = [("start", "mix_in", -16, 0), ("mix_in", "mix_in", 0, 8), ("before_drop", "drop_bar", -8, 0), ("drop", "drop_bar", 0, 0), ("mix_out", "mix_out", 0, 8), ("end", "mix_out", 16, 0)]
+
+
+def markers(cues: DataFrame, key: str, n_bars: Column, review_below: float = 0.65) -> DataFrame:
+    """Rows (key, marker, bar, loop_end, confidence, review): the cue points in order with the markers that hang on them.
+
+    The drop comes after mix-in and mix-out after the drop: a cue out of order moves a phrase behind the one before it and its
+    confidence is 0.5 at most. Markers outside the track are left out; a loop needs its bars to be there.
+    """
+    drop0 = F.coalesce("drop_bar", F.col("mix_in") + 8)
+    drop = F.greatest(drop0, F.col("mix_in") + 8)
+    out = F.greatest(F.col("mix_out"), drop + 8)
+    moved = (drop != drop0) | (out != F.col("mix_out"))
+    confidence = F.when(moved, F.least(F.col("drop_confidence"), F.lit(0.5))).otherwise(F.col("drop_confidence"))
+    at = {"mix_in": F.col("mix_in"), "drop_bar": drop, "mix_out": out}
+    cells = [F.struct(F.lit(name).alias("marker"), (at[cue] + shift).cast("int").alias("bar"), F.lit(loop).alias("loop")) for name, cue, shift, loop in MARKERS]
+    each = cues.select(key, n_bars.alias("n"), confidence.alias("confidence"), F.explode(F.array(*cells)).alias("m")).where((F.col("m.bar") >= 0) & (F.col("m.bar") < F.col("n")))
+    loop_end = F.when((F.col("m.loop") > 0) & (F.col("m.bar") + F.col("m.loop") <= F.col("n")), F.col("m.bar") + F.col("m.loop"))
+    return each.select(key, "m.marker", "m.bar", loop_end.alias("loop_end"), "confidence", (F.col("confidence") < review_below).alias("review"))
+
+
+# fixed values: published tonal profiles of major and minor keys
+MAJOR_PROFILE = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
+MINOR_PROFILE = [6.33, 2.68, 3.52, 5.38, 2.60, 3.53, 2.54, 4.75, 3.98, 2.69, 3.34, 3.17]
+
+
+def profile_keys(rows: DataFrame, id_col: str, chroma: Column) -> DataFrame:
+    """Rows (id, tonic, mode, correlation, margin): the best of 24 correlations of a 12-element chroma with the rotated profiles."""
+    spark = rows.sparkSession
+    dim = [(t, m, i, float(p[(i - t) % 12])) for m, p in (("major", MAJOR_PROFILE), ("minor", MINOR_PROFILE)) for t in range(12) for i in range(12)]
+    profiles = spark.createDataFrame(dim, "tonic int, mode string, i int, w double")
+    long = rows.select(id_col, F.posexplode(chroma).alias("i", "c"))
+    corr = long.join(F.broadcast(profiles), "i").groupBy(id_col, "tonic", "mode").agg(F.round(F.corr("c", "w"), 6).alias("r"))
+    w = Window.partitionBy(id_col).orderBy(F.desc("r"), "mode", "tonic")
+    ranked = corr.withColumn("place", F.row_number().over(w)).withColumn("next", F.lead("r").over(w)).where("place = 1")
+    return ranked.select(id_col, "tonic", "mode", F.col("r").alias("correlation"), F.round(F.col("r") - F.col("next"), 6).alias("margin"))
