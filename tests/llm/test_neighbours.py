@@ -71,3 +71,18 @@ def test_blocks_of_a_hot_cell(spark, monkeypatch):
     got = {(r["a"], r["b"]) for r in N.nearest_pairs(make(spark, vectors), "id", "vec", k=4, least=0.5).collect()}
     want = brute(vectors, 16, 4, 0.5)
     assert len(got & want) == len(want) == len(got)
+
+
+def test_query_set_against_all_rows(spark):
+    rng = np.random.default_rng(4)
+    vectors = [*rng.standard_normal((400, 48)), None, [0.0] * 48, [1.0], *[np.ones(48)] * 9]
+    df = make(spark, vectors)
+    q = df.where("id % 5 = 0 or id >= 403")
+    got = N.nearest_to_queries(df, "id", "vec", q, k=4, block=50).toPandas()
+    want = brute(vectors, 48, 4, -1)
+    ids = {r["id"] for r in q.collect()}
+    want = {(a, b) for a, b in want if a in ids}
+    mine = set(zip(got["a"], got["b"]))
+    assert len(mine & want) >= 0.97 * len(want) and len(mine) == len(want)
+    assert {(a, b) for a, b in mine if a >= 403} == {(a, b) for a, b in want if a >= 403}
+    assert N.nearest_to_queries(df, "id", "vec", q.limit(0), k=4).count() == 0

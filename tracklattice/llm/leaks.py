@@ -24,8 +24,8 @@ from tracklattice.llm.text import fold
 
 #: evaluation texts in one broadcast index; a larger set is gone through in blocks of so many
 ITEM_BLOCK = 4_000
-#: share of an item's characters that a text must hold
-SHARE = 0.5
+#: share of an item's characters that must be found again word for word, or between such words; half a text with altered words keeps as much
+SHARE = 0.4
 WINDOW = 5
 WIDE_WINDOW = 10
 #: words that may stand between two parts of a passage: one foreign sentence

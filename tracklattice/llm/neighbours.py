@@ -242,6 +242,96 @@ def nearest_pairs(
     return joined.select(F.lit(kind).alias("kind"), "a", F.col("x.b").alias("b"), (-F.col("x.s")).alias("similarity")).where(F.col("similarity") >= least)
 
 
+def nearest_to_queries(df: DataFrame, id_col: str, column: str, queries: DataFrame, k: int, dim: int | None = None, label: str = "", block: int = 2_048) -> DataFrame:
+    """Rows (kind, a, b, similarity, place): the k rows of df most similar to each row of queries, itself left out.
+
+    All rows are scanned for a query set, block of queries by block: bit counts rule out the pairs whose upper bound stays under
+    the k-th best so far, the rest is computed exactly. Dirty vectors on either side take no part; ties go to the smaller id; a
+    repeated id is one row. Every partition hands on k rows a query.
+    """
+    spark = df.sparkSession
+    kind = label or column
+    src = df.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v"))
+    dim = V.common_dim(src, "v") if dim is None else dim
+    shape = "a long, b long, similarity double"
+    out = None
+    for ids, u in _query_blocks(queries.select(F.col(id_col).cast("long").alias("id"), F.col(column).alias("v")), dim, block):
+        sent = spark.sparkContext.broadcast((ids, u))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            q_ids, q = sent.value
+            turn = V.rotation(dim)
+            planes = bit_planes(q @ turn)
+            best: pd.DataFrame | None = None
+            floor = np.full(len(q), -1.0)
+            for batch in V.batches_of(batches):
+                at, rows = V.matrix(batch.column(1), dim)
+                if not len(rows):
+                    continue
+                x_ids = np.asarray(batch.column(0).take(pa.array(at))).astype(np.int64)
+                a, b, s = _scan_block(q, planes, V.unit(rows), turn, k, floor)
+                other = q_ids[a] != x_ids[b]
+                got = pd.DataFrame({"a": q_ids[a][other], "b": x_ids[b][other], "s": s[other]})
+                best = _keep_best(got if best is None else pd.concat([best, got]), k)
+                # every query is in order of q_ids; one place is spare for the query itself
+                full = best.groupby("a")["s"].agg(["size", "min"])
+                floor = np.where((full["size"].reindex(q_ids).fillna(0) >= k).to_numpy(), full["min"].reindex(q_ids).fillna(-1.0).to_numpy(), -1.0)
+            if best is not None:
+                yield pa.RecordBatch.from_pandas(best.rename(columns={"s": "similarity"}), preserve_index=False)
+
+        part = src.mapInArrow(run, shape)
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return spark.createDataFrame([], "kind string, a long, b long, similarity double, place int")
+    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    return out.dropDuplicates(["a", "b"]).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(F.lit(kind).alias("kind"), "a", "b", "similarity", "place")
+
+
+def _query_blocks(queries: DataFrame, dim: int, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    ids: list[int] = []
+    rows: list[list[float]] = []
+    for r in queries.where(F.size("v") == dim).toLocalIterator(prefetchPartitions=True):
+        ids.append(r["id"])
+        rows.append(r["v"])
+        if len(ids) == block:
+            yield from _clean_block(ids, rows, dim)
+            ids, rows = [], []
+    if ids:
+        yield from _clean_block(ids, rows, dim)
+
+
+def _clean_block(ids: list[int], rows: list[list[float]], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    keep, m = V.matrix(pa.array(rows, pa.list_(pa.float32())), dim)
+    if len(keep):
+        first = np.unique(np.array(ids)[keep], return_index=True)[1]
+        yield np.array(ids)[keep][first], V.unit(m[first])
+
+
+def _scan_block(q: np.ndarray, planes: tuple, x: np.ndarray, turn: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    codes, own = one_bit_codes(x @ turn)
+    dim = x.shape[1]
+    wrong = EPSILON * np.sqrt(np.maximum(1 - own**2, 0)) / own / sqrt(max(1, dim - 1))
+    bits, low, step = planes
+    aa, bb, ss = [], [], []
+    for begin in range(0, len(q), 256):
+        rows = slice(begin, begin + 256)
+        guess = estimate(codes, own, bits[:, rows], low[rows], step[rows], dim)
+        slack = wrong[None, :] + EPSILON * step[rows][:, None] / 2
+        need = floor[rows]
+        if guess.shape[1] > k:  # one more than k, for the query itself
+            lower = guess - slack
+            need = np.maximum(need, -np.partition(-lower, k, axis=1)[:, k])
+        a, b = np.nonzero(guess + slack >= need[:, None])
+        s = np.round(np.einsum("ij,ij->i", q[rows][a], x[b]), 12)
+        ok = s >= floor[rows][a]
+        aa.append(a[ok] + begin), bb.append(b[ok]), ss.append(s[ok])
+    return np.concatenate(aa), np.concatenate(bb), np.concatenate(ss)
+
+
+def _keep_best(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
+    return pairs.drop_duplicates(["a", "b"]).sort_values(["s", "b"], ascending=[False, True], kind="stable").groupby("a", sort=False).head(k)
+
+
 def _cell_counter(book, dim: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(book.value), dtype=np.int64)

@@ -50,6 +50,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
+def p2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five most similar rows, however similar, of the query set (every track_index divisible by 20) against all rows, by either vector."""
+    src = table(spark, sf_dir, "track_features")
+    both = None
+    for kind, column in (("embed", "embed_vector"), ("unified", "unified_vector")):
+        part = neighbours.nearest_to_queries(src, "track_index", column, src.where("track_index % 20 = 0"), k=5, dim=64, label=kind)
+        both = part if both is None else both.unionByName(part)
+    return both.select(F.col("kind").alias("vector_kind"), F.col("a").alias("track_index"), F.col("b").alias("neighbour"), F.round("similarity", 9).alias("similarity"), "place")
+
+
 def genre_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the three genre columns that are neither null nor blank, with their place in the array."""
     out = None
@@ -101,5 +111,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.split_sentences(docs, sentences.learn(docs)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_bundles": p1_bundles, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_bundles": p1_bundles, "p2_found": p2_found, "p2_topk": p2_topk, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}

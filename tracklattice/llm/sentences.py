@@ -37,7 +37,7 @@ _ITEM = re.compile(r"\s*(?:([-*•‣◦·–—])\s+|(\d{1,3}[.)])\s+|(\d{1,2}:
 _FINISHED = re.compile(r"[.!?…。！？؟।:：;；\"”’»›」』》)）\]\U0001F000-\U0001FAFF☀-➿️]\s*$")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
 _MARKS = re.compile(r"[.!?…。！？؟।॥;;]+|[“„«‹‘‚「『《(（\[”’»›」』》)）\]]|(?:" + "|".join(THAI_FINAL) + r")(?=\s)")
-_OPENERS = "“„«‹‘‚「『《(（[\"'¿¡"
+_OPENERS = "\ufeff\u200b“„«‹‘‚「『《(（[\"'¿¡"
 _SURE = re.compile(r"(?:[!?؟।！？。]+|(?<=[Ͱ-Ͽἀ-῿])[;;])[)）]*$")
 
 
