@@ -73,39 +73,56 @@ def _segments(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
+def shifted(parts: int, chosen: tuple[int, ...], edits: int) -> list[tuple[int, ...]]:
+    """Shifts that the chosen segments of a string may show in one at most `edits` errors away: each step between them costs an error."""
+    out: list[tuple[int, ...]] = [(s,) for s in range(-edits, edits + 1)]
+    for _ in chosen[1:]:
+        out = [(*o, t) for o in out for t in range(-edits, edits + 1) if abs(o[0]) + sum(abs(b - a) for a, b in zip(o, o[1:])) + abs(t - o[-1]) <= edits]
+    return out
+
+
 def near_equal(strings: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct strings of column s that differ by 1 to `edits` typing errors; b or a must be marked.
 
-    strings: (s STRING, probe BOOLEAN); pairs without a probe are not looked for. A string cut into edits + 1 segments shares one
-    of them, shifted by at most `edits`, with any string that near: pairs meet in the inverted index of segments. Strings of up
-    to 2 * edits + 2 letters are left out. Two strings whose digits differ are no pair.
+    strings: (s STRING, probe BOOLEAN); pairs without a probe are not looked for. Of 2 * edits + 1 segments of a string, edits + 1 stay
+    whole in any string that near, shifted by no more than the errors before them (two letters swapped across the border of segments break both). Pairs meet in an inverted index of all choices of
+    edits + 1 segments, which cover more than half of a string: a beginning that a third of all strings share brings no pairs
+    together. Strings of up to 3 * edits + 2 letters are left out. Two strings whose digits differ are no pair.
     """
-    parts = edits + 1
+    parts, whole = 2 * edits + 1, edits + 1
+    choices = list(combinations(range(parts), whole))
+    moves = {c: shifted(parts, c, edits) for c in choices}
 
-    def code(length: int, i: int, seg: str) -> int:
-        return xxhash.xxh64_intdigest(f"{length}:{i}:{seg}") - 2**63
+    def code(length: int, c: tuple[int, ...], segs: tuple[str, ...]) -> int:
+        return xxhash.xxh64_intdigest(f"{length}:{c}:{'|'.join(segs)}") - 2**63
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(code(len(s), i, s[a : a + n]), s) for s in pdf["s"] for i, (a, n) in enumerate(_segments(len(s), parts))]
+            out = []
+            for s in pdf["s"]:
+                cut = _segments(len(s), parts)
+                out += [(code(len(s), c, tuple(s[cut[i][0] : cut[i][0] + cut[i][1]] for i in c)), s) for c in choices]
             yield pd.DataFrame(out, columns=["code", "b"])
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = set()
             for s in pdf["s"]:
+                out = set()
                 for length in range(len(s) - edits, len(s) + edits + 1):
-                    for i, (a, n) in enumerate(_segments(length, parts)):
-                        for at in range(max(0, a - edits), min(len(s) - n, a + edits) + 1):
-                            out.add((code(length, i, s[at : at + n]), s))
-            yield pd.DataFrame(list(out), columns=["code", "a"])
+                    cut = _segments(length, parts)
+                    for c in choices:
+                        for m in moves[c]:
+                            if any(cut[i][0] + d < 0 or cut[i][0] + d + cut[i][1] > len(s) for i, d in zip(c, m)):
+                                continue
+                            out.add(code(length, c, tuple(s[cut[i][0] + d : cut[i][0] + d + cut[i][1]] for i, d in zip(c, m))))
+                yield pd.DataFrame({"code": list(out), "a": s})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = [1 <= typo_distance(a, b, edits) <= edits for a, b in zip(pdf["a"], pdf["b"])]
             yield pdf[ok]
 
-    long = strings.where(F.length("s") > 2 * edits + 2)
+    long = strings.where(F.length("s") > 3 * edits + 2)
     left = long.where("probe").select("s").mapInPandas(probe, "code long, a string")
     right = long.select("s").mapInPandas(index, "code long, b string")
     met = left.join(right, "code").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
