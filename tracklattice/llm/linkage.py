@@ -1,8 +1,8 @@
 """Probabilistic linkage of playlist rows and files of one recording, without a shared key.
 
 Both sides become sets of words, set right against the words of both tables. Candidates of one kind of version meet in three
-blocking passes: by all words of title and version together, by any three words of title and main artist of which two are the
-title's, and by a title word with two words of the artist and the duration. Agreement levels of title, artist, version, further words and
+blocking passes: by all words of title and version and the duration, by three words of title and credits of which two are the title's,
+and by a title word with two words of the artist and the duration. No pass brings all rows of an artist, or all of a title, together. Agreement levels of title, artist, version, further words and
 duration are counted as patterns; expectation maximisation estimates how likely matches and non-matches show each level, and
 the posterior of a pair's pattern is its confidence.
 """
@@ -70,7 +70,7 @@ def artist_parts(artists: list[str] | None) -> tuple[list[str], list[str], list[
     joined = []
     for x in each:
         w = [v for v in words(x) if v != "the"]
-        joined += ["".join(w), "".join(reversed(w))] if len(w) > 1 else []
+        joined += ["".join(w), "".join(reversed(w))][: 2 if "," in x else 1] if len(w) > 1 else []  # "Last, First"
     main = [w for w in words(each[0]) if w != "the"] if each else []
     return main, every, sorted(set(joined))
 
@@ -186,16 +186,14 @@ def linked_pairs(
     fc = f.groupBy("f").agg(*[F.first(c).alias(c) for c in ("w", "wt", "kind", "feat", "d")])
 
     def triples(words_of: Column, title: Column | None) -> Column:
-        """Hashes of all sets of three words (sorted), at least two of them from title."""
+        """Hashes of all sets of three words (sorted), two of them from title, or one where it has no more."""
         w = F.array_sort(words_of)
         place = F.sequence(F.lit(0), F.size(w) - 1)
         every = F.flatten(F.transform(place, lambda i: F.flatten(F.transform(F.filter(place, lambda j: j > i), lambda j: F.transform(F.filter(place, lambda k: k > j), lambda k: F.array(w[i], w[j], w[k]))))))
         if title is not None:
-            every = F.filter(every, lambda x: F.size(F.array_intersect(x, title)) >= 2)
+            every = F.filter(every, lambda x: F.size(F.array_intersect(x, title)) >= F.least(F.lit(2), F.size(title)))
         return F.when(F.size(w) >= 3, F.transform(every, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
 
-    whole_p = F.xxhash64(F.lit("whole"), F.array_sort(F.array_union("t", "v")))
-    whole_f = F.array_distinct(F.array(F.xxhash64(F.lit("whole"), F.array_sort("w")), F.xxhash64(F.lit("whole"), F.array_sort("wt"))))
     def timed(title: Column, artist: Column, buckets: list[Column]) -> Column:
         """Hashes of a title word, two words of the artist and a stretch of the duration."""
         a = F.array_sort(artist)
@@ -205,8 +203,18 @@ def linked_pairs(
         return F.when(F.col("d").isNotNull() & (F.size(a) >= 2), keys).otherwise(F.array().cast("array<bigint>"))
 
     bucket = F.floor(F.col("d") / (TOLERANCE + 1))
-    left = pc.select("p", "kind", F.explode(F.array_union(F.array_union(F.array(whole_p), triples(F.array_union("t", "m"), F.col("t"))), timed(F.col("t"), F.col("m"), [bucket - 1, bucket, bucket + 1]))).alias("key"))
-    right = fc.select("f", "kind", F.explode(F.array_union(F.array_union(whole_f, triples(F.col("w"), None)), timed(F.col("wt"), F.array_except("w", "wt"), [bucket]))).alias("key"))
+
+    def whole(words_of: Column, known: list[Column | int], unknown: list[int]) -> Column:
+        """Hashes of all words with a stretch of the duration; -1 stands for a file of unknown duration, -2 for such a playlist row, -3 for neither."""
+        w = F.array_sort(words_of)
+        each = lambda bs: F.array(*[F.xxhash64(F.lit("whole"), w, F.lit(b).cast("long") if isinstance(b, int) else b) for b in bs])
+        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.col("d").isNotNull(), each(known)).otherwise(each(unknown))
+
+    credited = F.array_union(F.array_union("m", "g"), "j")
+    keys_p = F.flatten(F.array(whole(F.array_union("t", "v"), [bucket - 1, bucket, bucket + 1, -1], [-2, -1]), triples(F.array_union("t", credited), F.col("t")), timed(F.col("t"), F.col("m"), [bucket - 1, bucket, bucket + 1])))
+    keys_f = F.flatten(F.array(whole(F.col("w"), [bucket, -2], [-1]), whole(F.col("wt"), [bucket], [-3]), triples(F.col("w"), None), timed(F.col("wt"), F.array_except("w", "wt"), [bucket])))
+    left = pc.select("p", "kind", F.explode(F.array_distinct(keys_p)).alias("key"))
+    right = fc.select("f", "kind", F.explode(F.array_distinct(keys_f)).alias("key"))
     met = left.join(right, ["key", "kind"]).select("p", "f").distinct()
     both = met.join(pc, "p").join(fc.select("f", "w", "feat", F.col("d").alias("f_d")), "f")
 
