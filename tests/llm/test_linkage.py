@@ -58,3 +58,11 @@ def test_em_separates_two_classes():
     post, fitted = L.expectation_maximisation(patterns, counts.astype(float))
     assert 0.12 < fitted["prior"] < 0.3
     assert post[(patterns == 1).all(axis=1)][0] > 0.9 and post[(patterns == 0).all(axis=1)][0] < 0.05
+
+
+def test_a_third_of_the_rows_is_one_recording(spark):
+    rows, files = frames(spark, 40)
+    rows += [(1000 + i, "Amber Dovetail", ["Nora Vale"], 200.0 + (i % 7) / 10, 1.0) for i in range(60)]
+    files += [(1000 + i, ["amber", "dovetail"], ["nora", "vale", "amber", "dovetail"], 200.5, "x") for i in range(20)]
+    got = run(spark, rows, files)
+    assert sum(1 for a, b in got if a >= 1000 and b >= 1000) == 1200

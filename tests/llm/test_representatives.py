@@ -51,6 +51,17 @@ def test_best_values(spark):
     assert best(spark, rows) == {1: (3, "9A", "120"), 4: (2, "3B", "99"), 6: (2, "8A", "130"), 8: (2, None, None)}
 
 
+def test_repeats_count_once_but_other_records_count(spark):
+    rows = [rec(1, "T-1", "a.mp3", "9A", "120", 0.5, T0), rec(2, "T-1", "a.mp3", "9A", "120", 0.5, T0), rec(3, "T-1", "b.mp3", "1B", "121", 0.6, T0), rec(4, "T-2", "a", "9A", "120", 0.5, T0), rec(5, "T-2", "b", "9A", "120", 0.5, T0), rec(6, "T-2", "c", "1B", "121", 0.6, T0)]
+    assert best(spark, rows) == {1: (3, "1B", "121"), 4: (3, "9A", "120")}
+
+
+def test_a_third_of_the_records_in_one_group(spark):
+    rows = [rec(i, "hot" if i % 3 == 0 else f"T-{i // 6}", f"Nora Vale - Amber {'abcdefghij'[i % 10] * 3}x Number{i % 3 == 0}.mp3", f"{1 + i % 12}A", str(100 + i % 5), (i % 97) / 97, T0) for i in range(1500)]
+    got = best(spark, rows)
+    assert got[0][0] >= 500
+
+
 def test_dependencies_hold(spark):
     rows = [(i, "T-1", c, s, 0.5 + i / 100, T0) for i, (c, s) in enumerate([("Rome", "IT"), ("Rome", "IT"), ("Bonn", "DE"), ("Oslo", "DE"), ("Oslo", "NO")])]
     df = spark.createDataFrame(rows, "row_id long, t string, city string, state string, confidence double, updated_at timestamp")

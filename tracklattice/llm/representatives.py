@@ -149,11 +149,12 @@ def best_records(
     """
     names = list(bundles)
     value = {b: F.when(F.greatest(*[c.isNull().cast("int") for c in [*cols, F.lit(1)]]) == 0, F.array(*[c.cast("string") for c in cols])) for b, cols in bundles.items()}
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(confidence).cast("double").alias("c"), F.col(updated).cast("timestamp").alias("u"), *[value[b].alias(f"v_{i}") for i, b in enumerate(names)])
+    others = [c for c in df.columns if c != id_col and "map<" not in df.schema[c].dataType.simpleString()]
+    rows = df.select(F.xxhash64(*others).alias("whole"), F.col(id_col).cast("long").alias("id"), F.col(confidence).cast("double").alias("c"), F.col(updated).cast("timestamp").alias("u"), *[value[b].alias(f"v_{i}") for i, b in enumerate(names)])
     rows = materialise(rows.join(groups, "id"), "records")
     sizes = rows.groupBy("grp").agg(F.min("id").alias("id"), F.count("*").alias("records")).where(F.col("records") >= least)
-    combos = rows.groupBy("grp", "c", "u", *[f"v_{i}" for i in range(len(names))]).agg(F.lit(1).alias("one"))
-    stacked = combos.select("grp", "c", "u", F.array(*[f"v_{i}" for i in range(len(names))]).alias("vs"))
+    once = rows.groupBy("grp", "whole", "c", "u", *[f"v_{i}" for i in range(len(names))]).agg(F.lit(1).alias("one"))
+    stacked = once.select("grp", "c", "u", F.array(*[f"v_{i}" for i in range(len(names))]).alias("vs"))
     cells = stacked.select("grp", "c", "u", "vs", F.posexplode("vs").alias("bundle", "v")).where("v is not null")
     counted = cells.groupBy("grp", "bundle", "v").agg(F.count("*").alias("n"), F.max("c").alias("c"), F.max("u").alias("u"))
     packed = counted.groupBy("grp").agg(F.collect_list(F.struct("bundle", "v", "n", "c", F.col("u").cast("double").alias("u"))).alias("cands"))
