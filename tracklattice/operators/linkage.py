@@ -59,28 +59,40 @@ def token_matches(queries: DataFrame, query_id: str, query_tokens: str, docs: Da
     return both.select(query_id, doc_id, "common", (F.col("common") / F.col("n")).alias("coverage"))
 
 
+def _pair_keys(words: Column) -> Column:
+    """Hashes of all pairs of a sorted array of words."""
+    place = F.sequence(F.lit(0), F.size(words) - 1)
+    pairs = F.flatten(F.transform(place, lambda i: F.transform(F.filter(place, lambda j: j > i), lambda j: F.xxhash64(F.get(words, i), F.get(words, j)))))
+    return F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<bigint>"))
+
+
 def best_match(
     queries: DataFrame, query_id: str, title: str, artist: str, files: DataFrame, file_id: str, file_tokens: str, file_title: str, least: float = 0.62
 ) -> DataFrame:
-    """Rows (query_id, file_id, score): the best file of each query that has one with a score of at least `least` (0.42 or more).
+    """Rows (query_id, file_id, score): the best file of each query that has one with a score of at least `least` (0.6 or more).
 
     The score is the coverage of the title words by the file's title (or all its words, at 0.85), times 0.7, plus 0.2 where a word of
     the artist is there, half of it otherwise; full coverage gives 0.95 with the artist, 0.9 without from three words on, else 0.45. The
     smallest file id wins ties.
 
-    Such a score needs a file that holds the share (least - 0.2) / 0.7 of the title's words. All but so many words may be
-    missing, so one of the rarest others must be there: only those are looked up in the inverted index, and words that fill
-    the library are not. Queries of the same words are matched once.
+    Such a score needs a file that holds the share (least - 0.2) / 0.7 of the title's words, two of them at least (one and a word of the
+    artist where the title has one). Of the rarest words of a title, as many as may be missing and two more, two must be there: files are
+    looked up by those pairs, so words that fill the library bring nothing together. Queries of the same words are matched once.
     """
+    if least < 0.6:
+        raise ValueError("pairs of words find every match only from a score of 0.6 on")
     share = (least - 0.2) / 0.7
     q = queries.select(query_id, F.array_sort(F.array_distinct(title)).alias("q_t"), F.array_sort(F.array_distinct(artist)).alias("q_a")).where(F.size("q_t") > 0).withColumn("q", F.xxhash64("q_t", "q_a"))
     classes = q.groupBy("q").agg(F.first("q_t").alias("q_t"), F.first("q_a").alias("q_a"))
-    held = files.select(file_id, F.explode(F.array_distinct(file_tokens)).alias("token"))
-    frequency = held.groupBy("token").agg(F.count("*").alias("n"))
+    held = files.select(file_id, F.array_sort(F.array_distinct(file_tokens)).alias("f_w"))
+    frequency = held.select(F.explode("f_w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     ranked = classes.select("q", F.size("q_t").alias("size"), F.explode("q_t").alias("token")).join(frequency, "token", "left")
     w = Window.partitionBy("q").orderBy(F.coalesce("n", F.lit(0)), "token")
-    rare = ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 1).where("n is not null")
-    met = rare.select("q", "token").join(held, "token").select("q", file_id).distinct()
+    rare = ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 2)
+    picked = rare.groupBy("q").agg(F.array_sort(F.collect_list("token")).alias("r")).join(classes, "q")
+    of_artist = F.array_distinct(F.transform(F.array_except("q_a", "q_t"), lambda x: F.xxhash64(F.least(x, F.col("q_t")[0]), F.greatest(x, F.col("q_t")[0]))))
+    keys = picked.select("q", F.explode(F.when(F.size("q_t") == 1, of_artist).otherwise(_pair_keys(F.col("r")))).alias("key"))
+    met = keys.join(held.select(file_id, F.explode(_pair_keys(F.col("f_w"))).alias("key")), "key").select("q", file_id).distinct()
     f = files.select(file_id, F.array_distinct(file_tokens).alias("f_all"), F.array_distinct(file_title).alias("f_t"))
     both = met.join(classes, "q").join(f, file_id)
     size = F.size("q_t")
