@@ -45,4 +45,8 @@ def test_playlists(spark, tmp_path):
     got = playlists.scan(spark, str(tmp_path / "mine.csv")).collect()
     assert len(got) == 1 and got[0]["artists"] == ["A", "B"] and got[0]["duration_sec"] == 200.5 and got[0]["genres"] == ["x", "y"] and got[0]["playlist"] == "mine.csv" and got[0]["year"] == "2020"
     rows = spark.createDataFrame([("p", 2, 5.0, "B", "/b"), ("p", 1, 3.0, "A", "/a"), ("p", 3, 1.0, None, "/c")], "p string, o int, s double, t string, f string")
-    assert playlists.m3u_bodies(rows, "p", "o", F.col("s"), F.col("t"), F.col("f")).collect()[0]["body"] == "#EXTM3U\n#EXTINF:3,A\n/a\n#EXTINF:5,B\n/b"
+    lines = playlists.m3u_lines(rows, "p", "o", F.col("s"), F.col("t"), F.col("f"))
+    assert [r["line"] for r in lines.orderBy("place").collect()] == ["#EXTINF:3,A\n/a", "#EXTINF:5,B\n/b"]
+    playlists.write(lines, "p", str(tmp_path / "out"))
+    files_ = list((tmp_path / "out" / "p=p").glob("*.txt"))
+    assert len(files_) == 1 and files_[0].read_text() == "#EXTM3U\n#EXTINF:3,A\n/a\n#EXTINF:5,B\n/b\n"

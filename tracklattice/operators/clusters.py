@@ -91,34 +91,54 @@ def coarse_merge(distances: pd.DataFrame, groups: list, keep: int) -> dict:
 
 
 def silhouettes(rows: DataFrame, group: str, id_col: str, vector: str, dim: int) -> DataFrame:
-    """Rows (id, group, silhouette) by cosine distance, from the sums of the groups; a member of a group of one has 0."""
-    c = centres(rows, group, vector, dim).select(F.col(group).alias("g"), "n", "total")
+    """Rows (id, group, silhouette) by cosine distance, from the sums of the groups; a member of a group of one has 0.
+
+    The sums, at most MAX_GROUPS rows, which is checked, go to every task; rows are held against them in batches.
+    """
+    c = centres(rows, group, vector, dim)
     if c.limit(MAX_GROUPS + 1).count() > MAX_GROUPS:
         raise ValueError("more groups than MAX_GROUPS")
-    each = rows.where(F.size(vector) == dim).select(id_col, group, vectors.unit(F.col(vector)).alias("u")).join(F.broadcast(c))
-    mean = 1 - vectors.dot(F.col("u"), F.col("total")) / F.col("n")
-    inner = F.when(F.col("n") > 1, (F.col("n") - vectors.dot(F.col("u"), F.col("total"))) / (F.col("n") - 1))
-    s = each.groupBy(id_col, group).agg(F.max(F.when(F.col("g") == F.col(group), inner)).alias("a"), F.min(F.when(F.col("g") != F.col(group), mean)).alias("b"))
-    return s.select(id_col, group, F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b", F.lit(1e-12))).alias("silhouette"))
+    packed = c.toPandas()
+    sent = rows.sparkSession.sparkContext.broadcast((packed[group].tolist(), packed["n"].to_numpy(), np.array(packed["total"].tolist(), dtype=float).reshape(-1, dim)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, n, total = sent.value
+        place = {g: i for i, g in enumerate(names)}
+        for pdf in batches:
+            u = np.array(pdf["u"].tolist(), dtype=float).reshape(len(pdf), dim)
+            own = np.array([place[g] for g in pdf[group]], dtype=int)
+            sums = n[None, :] - u @ total.T
+            at = np.arange(len(u))
+            inner = np.divide(sums[at, own], n[own] - 1, out=np.full(len(u), np.nan), where=n[own] > 1)
+            mean = sums / n[None, :]
+            mean[at, own] = np.inf
+            other = mean.min(axis=1) if mean.shape[1] > 1 else np.full(len(u), np.nan)
+            s = (other - inner) / np.maximum(np.maximum(inner, other), 1e-12)
+            yield pd.DataFrame({id_col: pdf[id_col], group: pdf[group], "silhouette": np.where(np.isfinite(s), s, 0.0)})
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (id_col, group)}
+    src = rows.where(F.size(vector) == dim).select(id_col, group, vectors.unit(F.col(vector)).alias("u"))
+    return src.mapInPandas(run, f"{id_col} {kinds[id_col]}, {group} {kinds[group]}, silhouette double")
 
 
 def constraint_counts(tracks: DataFrame, id_col: str, key: str, bpm: str, spread: float = 0.07) -> DataFrame:
     """Rows (id, hard, relaxed): with how many other tracks a track must not, or should not, share a group.
 
     hard: more than two steps round the key wheel, else tempos further apart than `spread` of their mean; relaxed: exactly two steps.
-    Unknown keys bring no key constraint, unknown tempos no tempo constraint. Tracks are counted by (key, whole tempo) cell and the
-    cells, a bounded number, are compared: no pair of tracks is.
+    Unknown keys bring no key constraint, unknown tempos no tempo constraint. Tracks are counted by (key, whole tempo) cell, a bounded
+    number; cells meet over the fixed table of key pairs, and no pair of tracks is looked at.
     """
-    cell = tracks.select(id_col, F.when(is_wheel_code(F.col(key)), F.col(key)).alias("k"), F.bround(F.col(bpm)).cast("int").alias("t"))
+    cell = tracks.select(id_col, F.when(is_wheel_code(F.col(key)), F.col(key)).otherwise("").alias("k"), F.coalesce(F.bround(F.col(bpm)).cast("int"), F.lit(-1)).alias("t"))
     counts = cell.groupBy("k", "t").agg(F.count("*").alias("n"))
-    a = counts.select(F.col("k").alias("ka"), F.col("t").alias("ta"))
-    b = counts.select(F.col("k").alias("kb"), F.col("t").alias("tb"), "n")
-    pairs = a.crossJoin(F.broadcast(b))  # cells: 25 keys times the whole tempos
-    steps = F.coalesce(wheel_distance(F.col("ka"), F.col("kb")), F.lit(0))
-    far = F.coalesce(F.abs(F.col("ta") - F.col("tb")) / ((F.col("ta") + F.col("tb")) / 2) > spread, F.lit(False))
-    hard = (steps > 2) | far
-    per_cell = pairs.groupBy("ka", "ta").agg(F.sum(F.when(hard, F.col("n")).otherwise(0)).alias("hard"), F.sum(F.when(steps == 2, F.col("n")).otherwise(0)).alias("relaxed"))
-    return cell.join(F.broadcast(per_cell), F.col("k").eqNullSafe(F.col("ka")) & F.col("t").eqNullSafe(F.col("ta"))).select(id_col, "hard", "relaxed")
+    codes = ["", *[f"{n}{s}" for n in range(1, 13) for s in "AB"]]
+    wheel = tracks.sparkSession.createDataFrame([(a, b) for a in codes for b in codes], "ka string, kb string")
+    wheel = wheel.withColumn("steps", F.coalesce(wheel_distance(F.col("ka"), F.col("kb")), F.lit(0)))
+    a = counts.select(F.col("k").alias("ka"), F.col("t").alias("ta")).join(F.broadcast(wheel), "ka")
+    pairs = a.join(F.broadcast(counts.select(F.col("k").alias("kb"), F.col("t").alias("tb"), "n")), "kb")  # cells: 25 keys times the whole tempos
+    far = (F.col("ta") >= 0) & (F.col("tb") >= 0) & (F.abs(F.col("ta") - F.col("tb")) / ((F.col("ta") + F.col("tb")) / 2) > spread)
+    hard = (F.col("steps") > 2) | F.coalesce(far, F.lit(False))
+    per_cell = pairs.groupBy("ka", "ta").agg(F.sum(F.when(hard, F.col("n")).otherwise(0)).alias("hard"), F.sum(F.when(F.col("steps") == 2, F.col("n")).otherwise(0)).alias("relaxed"))
+    return cell.join(F.broadcast(per_cell), (F.col("k") == F.col("ka")) & (F.col("t") == F.col("ta"))).select(id_col, "hard", "relaxed")
 
 
 def constrained_medoids(block: pd.DataFrame, id_col: str, vector: str, forbidden: np.ndarray, size: int = 8, rounds: int = 20, largest: int = 20) -> pd.DataFrame:

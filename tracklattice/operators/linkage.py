@@ -107,26 +107,35 @@ def best_match(
 
 
 def superseded(marked: DataFrame, marked_id: str, marked_tokens: str, plain: DataFrame, plain_id: str, plain_tokens: str) -> DataFrame:
-    """Ids of marked rows all of whose words occur in one plain row.
+    """Ids of marked rows all of whose words occur in one plain row of another id.
 
-    The plain rows are found over the rarest word of each marked row, so no pair is looked at that cannot hold.
+    Rows of the same words are one class on either side. Plain classes are found over the rarest word of each marked class, so no
+    pair is looked at that cannot hold.
     """
-    p = plain.select(plain_id, F.array_distinct(plain_tokens).alias("p_t"))
-    index = p.select(plain_id, F.explode("p_t").alias("token"))
+    p = plain.select(F.col(plain_id).alias("p_id"), F.array_sort(F.array_distinct(plain_tokens)).alias("p_t"))
+    p = p.groupBy("p_t").agg(F.min("p_id").alias("lo"), F.max("p_id").alias("hi")).withColumn("p_c", F.xxhash64("p_t"))
+    m = marked.select(F.col(marked_id), F.array_sort(F.array_distinct(marked_tokens)).alias("m_t")).where(F.size("m_t") > 0).withColumn("m_c", F.xxhash64("m_t"))
+    sets = m.groupBy("m_c").agg(F.first("m_t").alias("m_t"))
+    index = p.select("p_c", F.explode("p_t").alias("token"))
     freq = index.groupBy("token").agg(F.count("*").alias("n"))
-    m = marked.select(marked_id, F.array_distinct(marked_tokens).alias("m_t")).where(F.size("m_t") > 0)
-    each = m.select(marked_id, F.explode("m_t").alias("token")).join(freq, "token", "left")
-    rarest = each.groupBy(marked_id).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("x")).where("x.n > 0").select(marked_id, F.col("x.token").alias("token"))
-    met = rarest.join(index, "token").join(m, marked_id).join(p, plain_id).where((F.col(marked_id) != F.col(plain_id)) & (F.size(F.array_except("m_t", "p_t")) == 0))
-    return met.select(marked_id).distinct()
+    each = sets.select("m_c", F.explode("m_t").alias("token")).join(freq, "token", "left")
+    rarest = each.groupBy("m_c").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("x")).where("x.n > 0").select("m_c", F.col("x.token").alias("token"))
+    held = rarest.join(index, "token").join(sets, "m_c").join(p, "p_c").where(F.size(F.array_except("m_t", "p_t")) == 0)
+    span = held.groupBy("m_c").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return m.join(span, "m_c").where((F.col("lo") != F.col(marked_id)) | (F.col("hi") != F.col(marked_id))).select(marked_id).distinct()
 
 
 def closest(left: DataFrame, left_id: str, left_key: str, left_value: str, right: DataFrame, right_id: str, right_key: str, right_value: str, tolerance: float) -> DataFrame:
-    """For each left row the right row of the same key with the nearest value within the tolerance, the smaller id on ties."""
-    a = left.select(F.col(left_id), F.col(left_key).alias("__k"), F.col(left_value).alias("__x"))
-    b = right.select(F.col(right_id), F.col(right_key).alias("__k"), F.col(right_value).alias("__y"))
+    """For each left row the right row of the same key with the nearest value within the tolerance, the smaller id on ties.
+
+    Values meet by bands as wide as the tolerance, so a key that many rows share is cut into its bands; right rows of one value are
+    one row before they meet.
+    """
+    band = lambda c: F.floor(F.col(c) / tolerance)
+    a = left.where(F.col(left_value).isNotNull()).select(F.col(left_id), F.col(left_key).alias("__k"), F.col(left_value).alias("__x"), F.explode(F.array(band(left_value) - 1, band(left_value), band(left_value) + 1)).alias("__b"))
+    b = right.where(F.col(right_value).isNotNull()).groupBy(F.col(right_key).alias("__k"), F.col(right_value).alias("__y")).agg(F.min(right_id).alias(right_id)).withColumn("__b", F.floor(F.col("__y") / tolerance))
     gap = F.abs(F.col("__x") - F.col("__y"))
-    met = a.join(b, "__k").where(gap <= tolerance)
+    met = a.join(b, ["__k", "__b"]).where(gap <= tolerance)
     return met.groupBy(left_id).agg(F.min(F.struct(F.round(gap, 6).alias("gap"), F.col(right_id).alias("r"))).alias("x")).select(left_id, F.col("x.r").alias(right_id), F.col("x.gap").alias("gap"))
 
 

@@ -47,8 +47,8 @@ def confidence_buckets(rows: DataFrame, confidence: str, hit) -> DataFrame:
 def distribution(rows: DataFrame, label: str, cap: float = 0.20) -> DataFrame:
     """Rows (label, n, share, over_cap)."""
     counts = rows.groupBy(label).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(label, "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), (F.col("n") / F.col("total") > cap).alias("over_cap"))
+    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # one row a label
+    return counts.withColumn("total", F.sum("n").over(every)).select(label, "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), (F.col("n") / F.col("total") > cap).alias("over_cap"))
 
 
 def audit(rows: DataFrame, label: str, score: str) -> DataFrame:

@@ -179,12 +179,13 @@ def classify_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT playlist, '#EXTM3U' || chr(10) || string_agg('#EXTINF:' || CAST(floor(coalesce(CASE WHEN duration_sec > 10000 THEN duration_sec / 1000 ELSE duration_sec END, -1)) AS BIGINT) || ',' || name || chr(10) || uri, chr(10) ORDER BY row_id) AS body FROM playlist_tracks WHERE name IS NOT NULL AND uri IS NOT NULL GROUP BY 1
+SELECT playlist, CAST(row_number() OVER (PARTITION BY playlist ORDER BY row_id) AS INTEGER) AS place, '#EXTINF:' || CAST(floor(coalesce(CASE WHEN duration_sec > 10000 THEN duration_sec / 1000 ELSE duration_sec END, -1)) AS BIGINT) || ',' || name || chr(10) || uri AS line
+FROM playlist_tracks WHERE name IS NOT NULL AND uri IS NOT NULL
 """)
 def playlist_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Playlist files as text, one a playlist."""
+    """Entries of playlist files in order."""
     d = F.coalesce(F.when(F.col("duration_sec") > 10000, F.col("duration_sec") / 1000).otherwise(F.col("duration_sec")), F.lit(-1.0))
-    return playlists.m3u_bodies(table(spark, sf_dir, "playlist_tracks"), "playlist", "row_id", F.floor(d), F.col("name"), F.col("uri"))
+    return playlists.m3u_lines(table(spark, sf_dir, "playlist_tracks"), "playlist", "row_id", F.floor(d), F.col("name"), F.col("uri"))
 
 
 @query("SELECT track_id, artist_canonical, title_canonical, duration_sec_canonical, linked_file_count, needs_manual_review FROM tracks_master")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -19,11 +19,18 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def m3u_bodies(rows: DataFrame, playlist: str, order: str, seconds: Column, title: Column, path: Column) -> DataFrame:
-    """Rows (playlist, body): the text of an extended M3U file for each playlist, in the given order.
+def m3u_lines(rows: DataFrame, playlist: str, order: str, seconds: Column, title: Column, path: Column) -> DataFrame:
+    """Rows (playlist, place, line): the entries of an extended M3U file for each playlist, numbered from 1 in the given order.
 
-    A playlist is one file, so its lines meet in one row; entries without a path or title are left out.
+    Entries without a path or title are left out. A playlist of any length stays rows; write puts them in files.
     """
     line = F.concat(F.lit("#EXTINF:"), seconds.cast("long").cast("string"), F.lit(","), title, F.lit("\n"), path)
-    packed = rows.select(playlist, F.col(order).alias("o"), line.alias("line")).where("line is not null").groupBy(playlist).agg(F.array_sort(F.collect_list(F.struct("o", "line"))).alias("ls"))
-    return packed.select(playlist, F.concat(F.lit("#EXTM3U\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n")).alias("body"))
+    w = Window.partitionBy(playlist).orderBy(order)
+    return rows.select(playlist, order, line.alias("line")).where("line is not null").select(playlist, F.row_number().over(w).alias("place"), "line")
+
+
+def write(lines: DataFrame, playlist: str, folder: str) -> None:
+    """Lines of m3u_lines as text files below folder, one folder a playlist, each file begun with the format's first line."""
+    head = lines.select(playlist).distinct().select(playlist, F.lit(0).alias("place"), F.lit("#EXTM3U").alias("line"))
+    every = lines.unionByName(head).repartition(playlist).sortWithinPartitions(playlist, "place")
+    every.select(playlist, "line").write.partitionBy(playlist).mode("overwrite").text(folder)
