@@ -1,7 +1,7 @@
 """Probabilistic linkage of playlist rows and files of one recording, without a shared key.
 
 Both sides become sets of words, set right against the words of both tables. Candidates of one kind of version meet in three
-blocking passes: by all words of title and version and the duration, by three words of title and credits of which two are the title's,
+blocking passes: by all words of title and version and the duration, by three words of title and credits, all but one of the title's or three of them,
 and by a title word with two words of the artist and the duration. No pass brings all rows of an artist, or all of a title, together. Agreement levels of title, artist, version, further words and
 duration are counted as patterns; expectation maximisation estimates how likely matches and non-matches show each level, and
 the posterior of a pair's pattern is its confidence.
@@ -186,12 +186,12 @@ def linked_pairs(
     fc = f.groupBy("f").agg(*[F.first(c).alias(c) for c in ("w", "wt", "kind", "feat", "d")])
 
     def triples(words_of: Column, title: Column | None) -> Column:
-        """Hashes of all sets of three words (sorted), two of them from title, or one where it has no more."""
+        """Hashes of all sets of three words (sorted), with as many of title as a match may hold: all but one, two of two, three at most."""
         w = F.array_sort(words_of)
         place = F.sequence(F.lit(0), F.size(w) - 1)
         every = F.flatten(F.transform(place, lambda i: F.flatten(F.transform(F.filter(place, lambda j: j > i), lambda j: F.transform(F.filter(place, lambda k: k > j), lambda k: F.array(w[i], w[j], w[k]))))))
         if title is not None:
-            every = F.filter(every, lambda x: F.size(F.array_intersect(x, title)) >= F.least(F.lit(2), F.size(title)))
+            every = F.filter(every, lambda x: F.size(F.array_intersect(x, title)) >= F.least(F.lit(3), F.greatest(F.size(title) - 1, F.least(F.size(title), F.lit(2)))))
         return F.when(F.size(w) >= 3, F.transform(every, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
 
     def timed(title: Column, artist: Column, buckets: list[Column]) -> Column:
