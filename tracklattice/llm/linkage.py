@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +147,64 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return post, {"prior": prior, "tables": tables}
 
 
+def _hash(*parts: object) -> int:
+    return xxhash.xxh64_intdigest("\x1f".join(map(str, parts))) - 2**63
+
+
+def _stretch(d: float | None) -> int | None:
+    return None if d is None or d != d else int(d // (TOLERANCE + 1))
+
+
+def playlist_keys(t: list[str], v: list[str], m: list[str], credited: list[str], d: float | None) -> set[int]:
+    """Blocking keys of a playlist class: all words with a stretch of the duration, triples, and a title word with two of the artist's.
+
+    A triple has as many of the title's words as a match may hold: all but one, two of two, three at most. -1 and -2 stand for a file and
+    a playlist row of unknown duration.
+    """
+    b = _stretch(d)
+    near = [] if b is None else [b - 1, b, b + 1]
+    whole = sorted({*t, *v})
+    out = {_hash("whole", *whole, x) for x in ([*near, -1] if near else [-2, -1])}
+    title = set(t)
+    need = min(3, max(len(title) - 1, min(len(title), 2)))
+    others = sorted(set(credited) - title)
+    for of_title in range(need, min(3, len(title)) + 1):
+        for x in combinations(sorted(title), of_title):
+            for y in combinations(others, 3 - of_title):
+                out.add(_hash("three", *sorted((*x, *y))))
+    for x in combinations(sorted(set(m)), 2):
+        out |= {_hash("timed", *x, w, n) for w in title for n in near}
+    return out
+
+
+def file_keys(w: list[str], wt: list[str], d: float | None) -> set[int]:
+    """Blocking keys of a file class that meet those of playlist_keys."""
+    b = _stretch(d)
+    out = {_hash("three", *x) for x in combinations(sorted(set(w)), 3)}
+    if len(w):
+        out |= {_hash("whole", *sorted(w), x) for x in ([b, -2] if b is not None else [-1])}
+    if b is not None:
+        out.add(_hash("whole", *sorted(wt), b))
+        for x in combinations(sorted(set(w) - set(wt)), 2):
+            out |= {_hash("timed", *x, t, b) for t in wt}
+    return out
+
+
+def _spread(pdf: pd.DataFrame, name: str, keys: list[set[int]]) -> pd.DataFrame:
+    n = [len(k) for k in keys]
+    return pd.DataFrame({name: np.repeat(pdf[name].to_numpy(), n), "kind": np.repeat(pdf["kind"].to_numpy(), n), "key": np.fromiter((x for k in keys for x in k), np.int64, sum(n))})
+
+
+def _playlist_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield _spread(pdf, "p", [playlist_keys(t, v, m, [*m, *g, *j], d) for t, v, m, g, j, d in zip(pdf["t"], pdf["v"], pdf["m"], pdf["g"], pdf["j"], pdf["d"])])
+
+
+def _file_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield _spread(pdf, "f", [file_keys(w, wt, d) for w, wt, d in zip(pdf["w"], pdf["wt"], pdf["d"])])
+
+
 def linked_pairs(
     playlist: DataFrame, files: DataFrame, row_id: str = "row_id", name: str = "name", artists: str = "artists", duration: str = "duration_sec",
     file_id: str = "file_no", title_tokens: str = "title_tokens", all_tokens: str = "all_tokens", file_duration: str = "audio_duration_sec",
@@ -185,36 +245,8 @@ def linked_pairs(
     pc = p.groupBy("p").agg(*[F.first(c).alias(c) for c in ("t", "v", "kind", "m", "g", "j", "d")])
     fc = f.groupBy("f").agg(*[F.first(c).alias(c) for c in ("w", "wt", "kind", "feat", "d")])
 
-    def triples(words_of: Column, title: Column | None) -> Column:
-        """Hashes of all sets of three words (sorted), with as many of title as a match may hold: all but one, two of two, three at most."""
-        w = F.array_sort(words_of)
-        place = F.sequence(F.lit(0), F.size(w) - 1)
-        every = F.flatten(F.transform(place, lambda i: F.flatten(F.transform(F.filter(place, lambda j: j > i), lambda j: F.transform(F.filter(place, lambda k: k > j), lambda k: F.array(w[i], w[j], w[k]))))))
-        if title is not None:
-            every = F.filter(every, lambda x: F.size(F.array_intersect(x, title)) >= F.least(F.lit(3), F.greatest(F.size(title) - 1, F.least(F.size(title), F.lit(2)))))
-        return F.when(F.size(w) >= 3, F.transform(every, lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>"))
-
-    def timed(title: Column, artist: Column, buckets: list[Column]) -> Column:
-        """Hashes of a title word, two words of the artist and a stretch of the duration."""
-        a = F.array_sort(artist)
-        place = F.sequence(F.lit(0), F.size(a) - 1)
-        pairs = F.flatten(F.transform(place, lambda i: F.transform(F.filter(place, lambda j: j > i), lambda j: F.array(a[i], a[j]))))
-        keys = F.flatten(F.transform(pairs, lambda x: F.flatten(F.transform(title, lambda t: F.array(*[F.xxhash64(F.lit("timed"), x, t, b) for b in buckets])))))
-        return F.when(F.col("d").isNotNull() & (F.size(a) >= 2), keys).otherwise(F.array().cast("array<bigint>"))
-
-    bucket = F.floor(F.col("d") / (TOLERANCE + 1))
-
-    def whole(words_of: Column, known: list[Column | int], unknown: list[int]) -> Column:
-        """Hashes of all words with a stretch of the duration; -1 stands for a file of unknown duration, -2 for such a playlist row, -3 for neither."""
-        w = F.array_sort(words_of)
-        each = lambda bs: F.array(*[F.xxhash64(F.lit("whole"), w, F.lit(b).cast("long") if isinstance(b, int) else b) for b in bs])
-        return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).when(F.col("d").isNotNull(), each(known)).otherwise(each(unknown))
-
-    credited = F.array_union(F.array_union("m", "g"), "j")
-    keys_p = F.flatten(F.array(whole(F.array_union("t", "v"), [bucket - 1, bucket, bucket + 1, -1], [-2, -1]), triples(F.array_union("t", credited), F.col("t")), timed(F.col("t"), F.col("m"), [bucket - 1, bucket, bucket + 1])))
-    keys_f = F.flatten(F.array(whole(F.col("w"), [bucket, -2], [-1]), whole(F.col("wt"), [bucket], [-3]), triples(F.col("w"), None), timed(F.col("wt"), F.array_except("w", "wt"), [bucket])))
-    left = pc.select("p", "kind", F.explode(F.array_distinct(keys_p)).alias("key"))
-    right = fc.select("f", "kind", F.explode(F.array_distinct(keys_f)).alias("key"))
+    left = pc.select("p", "kind", "t", "v", "m", "g", "j", "d").mapInPandas(_playlist_keys, "p long, kind string, key long")
+    right = fc.select("f", "kind", "w", "wt", "d").mapInPandas(_file_keys, "f long, kind string, key long")
     met = left.join(right, ["key", "kind"]).select("p", "f").distinct()
     both = met.join(pc, "p").join(fc.select("f", "w", "feat", F.col("d").alias("f_d")), "f")
 

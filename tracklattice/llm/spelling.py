@@ -41,9 +41,8 @@ def corrections(counts: DataFrame, ratio: int = RATIO) -> DataFrame:
 
     words = counts.where((F.length("word") >= 4) & (F.length("word") <= 30) & ~F.col("word").rlike("[0-9]"))
     parts = words.select("word", "n").mapInPandas(run, "part string, word string, n long")
-    rare = parts.where(F.col("n") * ratio < 2**60)
     often = parts.where(F.col("n") >= ratio).select("part", F.col("word").alias("right"), F.col("n").alias("m"))
-    pairs = rare.join(often, "part").where((F.col("m") >= F.col("n") * ratio) & (F.col("word") != F.col("right"))).select("word", "right", "m").distinct()
+    pairs = parts.join(often, "part").where((F.col("m") >= F.col("n") * ratio) & (F.col("word") != F.col("right"))).select("word", "right", "m").distinct()
     near = pairs.withColumn("edits", F.levenshtein("word", "right", 3)).where(F.col("edits").between(1, 3))
     near = near.mapInPandas(_exact_edits, "word string, right string, m long, edits int").where(F.col("edits") <= F.when(F.length("word") < 6, 1).otherwise(MOST_EDITS))
     w = Window.partitionBy("word").orderBy("edits", F.desc("m"), "right")

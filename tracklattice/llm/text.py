@@ -10,7 +10,7 @@ from functools import lru_cache
 # fixed values: letters of other scripts that look like Latin ones
 LOOKALIKES = str.maketrans(
     "аеорсухіјѕһԁԛԝ" "АВЕКМНОРСТУХІЈЅԌ" "οανικτυρ" "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ",
-    "aeopcyxijshdqw" "ABEKMHOPCTYXIJSG" "oavikyup".replace("ky", "kt") + "ABEZHIKMNOPTYX",
+    "aeopcyxijshdqw" "ABEKMHOPCTYXIJSG" "oaviktup" + "ABEZHIKMNOPTYX",
 )
 INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠎​-‏‪-‮⁠-⁯ㅤ︀-️﻿]")
 # fixed values: letters that do not decompose
