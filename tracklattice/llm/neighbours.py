@@ -58,18 +58,27 @@ def bit_planes(rotated: np.ndarray, seed: int = 5) -> tuple[np.ndarray, np.ndarr
 def estimate(codes: np.ndarray, own: np.ndarray, planes: np.ndarray, low: np.ndarray, step: np.ndarray, dim: int) -> np.ndarray:
     """Estimated inner products (queries x indexed rows) of unit residuals from packed bits and correction scalars."""
     n_query, n_rows = planes.shape[1], len(codes)
-    common = np.zeros((n_query, n_rows), dtype=np.float32)
-    for j in range(PLANES):
-        for w in range(codes.shape[1]):
-            common += np.float32(1 << j) * np.bitwise_count(planes[j][:, w][:, None] & codes[:, w][None, :])
+    common = np.zeros((n_query, n_rows), dtype=np.uint16 if codes.shape[1] <= 64 else np.uint32)
+    both, bits = np.empty((n_query, n_rows), np.uint64), np.empty((n_query, n_rows), np.uint8)
+    for w in range(codes.shape[1]):
+        part = np.zeros((n_query, n_rows), np.uint16)
+        for j in range(PLANES - 1, -1, -1):  # the highest plane first: each step doubles what is there
+            np.bitwise_and(planes[j][:, w][:, None], codes[:, w][None, :], out=both)
+            np.bitwise_count(both, out=bits)
+            part += part
+            part += bits
+        common += part
     ones = np.bitwise_count(codes).sum(axis=1).astype(np.float32)
-    total = np.zeros(n_query, dtype=np.float32)
+    total = np.zeros(n_query)
     for j in range(PLANES):
-        total += np.float32(1 << j) * np.bitwise_count(planes[j]).sum(axis=1)
+        total += (1 << j) * np.bitwise_count(planes[j]).sum(axis=1)
     # sum of sign * value = 2 * (sum of values at one bits) - (sum of values)
-    at_ones = step[:, None] * common + low[:, None] * ones[None, :]
-    everything = step * total + low * dim
-    return (2 * at_ones - everything[:, None]) / (sqrt(dim) * own[None, :])
+    guess = common.astype(np.float32)
+    guess *= (2 * step).astype(np.float32)[:, None]
+    guess += (2 * low).astype(np.float32)[:, None] * ones[None, :]
+    guess -= (step * total + low * dim).astype(np.float32)[:, None]
+    guess /= (sqrt(dim) * own).astype(np.float32)[None, :]
+    return guess
 
 
 def block_pairs(q: np.ndarray, x: np.ndarray, centre: np.ndarray, k: int, least: float, same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -313,15 +322,21 @@ def _scan_block(q: np.ndarray, planes: tuple, x: np.ndarray, turn: np.ndarray, k
     wrong = EPSILON * np.sqrt(np.maximum(1 - own**2, 0)) / own / sqrt(max(1, dim - 1))
     bits, low, step = planes
     aa, bb, ss = [], [], []
-    for begin in range(0, len(q), 256):
-        rows = slice(begin, begin + 256)
-        guess = estimate(codes, own, bits[:, rows], low[rows], step[rows], dim)
-        slack = wrong[None, :] + EPSILON * step[rows][:, None] / 2
-        need = floor[rows]
-        if guess.shape[1] > k:  # one more than k, for the query itself
-            lower = guess - slack
+    wrong = wrong.astype(np.float32)
+    q32, x32 = q.astype(np.float32), x.astype(np.float32)
+    for begin in range(0, len(q), 64):
+        rows = slice(begin, begin + 64)
+        upper = estimate(codes, own, bits[:, rows], low[rows], step[rows], dim)
+        slack = (EPSILON * step[rows] / 2).astype(np.float32)
+        need = floor[rows].astype(np.float32)
+        if (need <= -1).any() and upper.shape[1] > k:  # no k rows yet: the k-th best lower bound, and one more for the query itself
+            lower = upper - wrong[None, :] - slack[:, None]
             need = np.maximum(need, -np.partition(-lower, k, axis=1)[:, k])
-        a, b = np.nonzero(guess + slack >= need[:, None])
+        upper += wrong[None, :]
+        a, b = np.nonzero(upper >= (need - slack)[:, None])
+        if len(a) > upper.size // 64:  # many pairs to rerank: single precision first, one product for the block
+            close = (q32[rows] @ x32.T)[a, b] >= floor[rows][a] - 1e-5
+            a, b = a[close], b[close]
         s = np.round(np.einsum("ij,ij->i", q[rows][a], x[b]), 12)
         ok = s >= floor[rows][a]
         aa.append(a[ok] + begin), bb.append(b[ok]), ss.append(s[ok])
