@@ -23,7 +23,7 @@ from tracklattice.operators.graph import connected_components
 from tracklattice.session import materialise
 
 #: occurrences from which on a word counts as known; names of known words only are compared letter for letter
-KNOWN = 50
+KNOWN = 12
 #: text that stands for a missing id
 NO_ID = ["", "-", "?", "??", "n/a", "na", "none", "null", "nan", "unknown", "0"]
 
