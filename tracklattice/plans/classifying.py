@@ -72,6 +72,14 @@ def text_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.explode(text.ngrams(F.col("w"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
+@query()
+def text_ngrams_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pairs of all documents, counted, whatever their label and script; text_ngrams and its SQL hold those labelled "en" letter for letter."""
+    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
+    d = table(spark, sf_dir, "documents").where("text is not null").select(words.alias("w"))
+    return d.select(F.explode(text.ngrams(F.col("w"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+
+
 @query()
 def feature_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse features of the tracks."""

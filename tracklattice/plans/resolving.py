@@ -238,6 +238,12 @@ def wheel_codes_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("row_id", music.camelot(F.col("canonical_key")).alias("key"))
 
 
+@query()
+def keys_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of all records in any notation as wheel codes; what is neither code nor name becomes null. wheel_codes_parsed and its SQL hold wheel codes only."""
+    return table(spark, sf_dir, "registry_enrichment").select("row_id", music.camelot(F.col("canonical_key")).alias("key"))
+
+
 @query("""
 SELECT o_custkey, CAST(count(*) AS BIGINT) AS suspects FROM (
   SELECT o_custkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS before FROM orders)
