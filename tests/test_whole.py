@@ -1,10 +1,12 @@
 """Queries and operators over the whole of their input, against brute force."""
 
+import re
 import unicodedata
 from collections import Counter
 
 import pandas as pd
 
+from tracklattice.plans import linking
 from tracklattice.plans.catalogue import QUERIES
 
 
@@ -31,3 +33,58 @@ def test_keys_of_all_records(spark, tmp_path, tiny):
     got = {r["row_id"]: r["key"] for r in QUERIES["keys_parsed"](spark, str(tmp_path)).collect()}
     assert list(map(got.get, range(len(given)))) == list(given.values())
     assert QUERIES["keys_parsed"](spark, tiny).count() == len(pd.read_parquet(f"{tiny}/registry_enrichment.parquet"))
+
+
+def words(s):
+    return set(re.findall("[a-z0-9]+", s.lower())) - set(linking.STOP)
+
+
+def brute_cut(name, artists, files, least=0.62):
+    title, artist = words(name), set().union(*map(words, artists))
+    remixer = set().union(*[words(x) - {"remix"} for x in re.split(r"\s-\s|[()\[\]]", name) if "remix" in words(x)])
+    core, best = (title - remixer - artist - {"remix"}) or title, None
+    for no, every, in_title in sorted(files, key=lambda f: f[0]) if title else []:
+        every, in_title = set(every) - set(linking.STOP), set(in_title) - set(linking.STOP)
+        cov, there = len(core & in_title) / len(core), bool(artist & every)
+        part = 0.7 * max(cov, 0.85 * len(core & every) / len(core))
+        score = (0.95 if there else 0.9 if len(title) >= 3 else 0.45) if cov >= 0.999 else part + 0.2 if there else part / 2
+        if remixer and not remixer & in_title or "remix" in in_title and "remix" not in title:
+            score = min(score, 0.45)
+        if round(score, 6) >= least and (best is None or round(score, 6) > best[1]):
+            best = (no, round(score, 6))
+    return best
+
+
+def test_a_remix_is_another_cut(spark, tmp_path):
+    tracks = [
+        ("Sunrise", ["Nora Vale"]), ("Sunrise - Adam Ten Remix", ["Nora Vale"]), ("Sunrise (Ivan Stone Remix)", ["Nora Vale"]), ("Seven Eleven (Adam Ten Remix)", ["Mia Frost"]), ("Foo", ["Foo"]), ("Baz (feat. Mia Frost)", ["Otto Lane", "Mia Frost"]),
+        ("Amber Dovetail", ["Nora Vale"]), ("Amber Dovetail Lagoon Ember", ["Nora Vale"]), ("", ["Nora Vale"]), ("Solo (Remix)", ["Ann Bee"]), ("The Original Mix", []),
+    ]
+    names = [("nora vale", "sunrise adam ten remix"), ("mia frost", "other thing adam ten remix"), ("", "foo"), ("", "baz extended"), ("nora vale", "amber dovetail ivan stone remix"), ("nora vale", "amber dovetail ember"), ("ann bee", "solo"), ("nora", "lagoon"), ("otto", "baz remix")]
+    files = [(i, (a + " " + t).split(), t.split()) for i, (a, t) in enumerate(names)]
+    pd.DataFrame([(i, *t) for i, t in enumerate(tracks)], columns=["row_id", "name", "artists"]).to_parquet(tmp_path / "playlist_tracks.parquet")
+    pd.DataFrame(files, columns=["file_no", "all_tokens", "title_tokens"]).to_parquet(tmp_path / "file_entries.parquet")
+    got = {r["row_id"]: (r["file_no"], r["score"]) for r in QUERIES["fuzzy_best_cut"](spark, str(tmp_path)).collect()}
+    assert got == {i: b for i, (n, a) in enumerate(tracks) if (b := brute_cut(n, a, files))}
+    assert 0 not in got and got[1] == (0, 0.95) and not {2, 3} & set(got) and got[6][0] == 5
+    present = {r["row_id"] for r in QUERIES["present_cut_split"](spark, str(tmp_path)).collect() if r["present"]}
+    assert present == set(got)
+
+
+def test_best_cut_as_by_brute_force(spark, tiny):
+    fold = lambda s: s.lower().translate(str.maketrans(linking.text.ACCENTED, linking.text.PLAIN))
+    p, f = pd.read_parquet(f"{tiny}/playlist_tracks.parquet"), pd.read_parquet(f"{tiny}/file_entries.parquet")
+    files = [(n, a if a is not None else [], t if t is not None else []) for n, a, t in zip(f["file_no"], f["all_tokens"], f["title_tokens"])]
+    got = {r["row_id"]: (r["file_no"], r["score"]) for r in QUERIES["fuzzy_best_cut"](spark, tiny).collect()}
+    some = p.iloc[:150]
+    want = {i: b for i, n, a in zip(some["row_id"], some["name"], some["artists"]) if (b := brute_cut(fold(n or ""), [fold(x) for x in (a if a is not None else []) if x], files))}
+    assert {i: b for i, b in got.items() if i in set(some["row_id"])} == want
+
+
+def test_superseded_by_the_same_cut_only(spark, tmp_path):
+    rows = [
+        (1, "nora vale amber", "amber", "mp3"), (2, "nora vale amber ivan stone remix", "amber ivan stone remix", "flac"), (3, "mia frost ember", "ember", "mp3"), (4, "mia frost ember original mix", "ember original mix", "wav"),
+        (5, "ivan stone nora vale lagoon ivan stone remix", "lagoon ivan stone remix", "mp3"), (6, "nora vale lagoon ivan stone remix", "lagoon ivan stone remix", "flac"), (7, "otto lane ember", "ember", "mp3"), (8, "", "", "mp3"), (9, "", "", "wav"),
+    ]
+    pd.DataFrame([(i, a.split(), t.split(), e) for i, a, t, e in rows], columns=["file_no", "all_tokens", "title_tokens", "extension"]).to_parquet(tmp_path / "file_entries.parquet")
+    assert {r["file_no"] for r in QUERIES["prune_superseded_cut"](spark, str(tmp_path)).collect()} == {3, 5}

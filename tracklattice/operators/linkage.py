@@ -106,6 +106,55 @@ def best_match(
     return q.select(query_id, "q").join(best, "q").select(query_id, F.col("x.f").alias(file_id), (-F.col("x.s")).alias("score"))
 
 
+def best_cut(
+    queries: DataFrame, query_id: str, title: str, artist: str, remixer: str, files: DataFrame, file_id: str, file_tokens: str, file_title: str, least: float = 0.62
+) -> DataFrame:
+    """Rows (query_id, file_id, score) as best_match gives them, over the core words of the title, a remix being a recording of its own.
+
+    Core words are those of the title without the words of remixer and artist and without "remix" (all of them where none is left). The score
+    is at most 0.45 where the title has a remixer of whom the file's title has no word, and where the file's title says "remix" and the
+    query's does not. From three words of the whole title on, full coverage gives 0.9 without the artist.
+
+    Files are looked up by pairs of the rarest core words as in best_match. A single core word meets files with a word of the remixer, or
+    else of the artist; beside these, of all files that hold it and count the same the smallest id alone can be best.
+    """
+    if least < 0.6:
+        raise ValueError("pairs of words find every match only from a score of 0.6 on")
+    share = (least - 0.2) / 0.7
+    fields = ("q_t", "q_a", "q_r", "q_c")
+    core = F.array_except(F.array_except(F.array_except("q_t", "q_r"), "q_a"), F.array(F.lit("remix")))
+    q = queries.select(query_id, *[F.array_sort(F.array_distinct(c)).alias(n) for c, n in ((title, "q_t"), (artist, "q_a"), (remixer, "q_r"))]).where(F.size("q_t") > 0)
+    q = q.withColumn("q_c", F.when(F.size(core) > 0, core).otherwise(F.col("q_t"))).withColumn("q", F.xxhash64("q_t", "q_a", "q_r"))
+    classes = q.groupBy("q").agg(*[F.first(c).alias(c) for c in fields])
+    f = files.select(file_id, F.array_distinct(file_tokens).alias("f_all"), F.array_distinct(file_title).alias("f_t"))
+    held = f.select(file_id, F.array_sort(F.array_union("f_all", "f_t")).alias("f_w"), "f_all", "f_t")
+    frequency = held.select(F.explode("f_w").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    ranked = classes.where(F.size("q_c") > 1).select("q", F.size("q_c").alias("size"), F.explode("q_c").alias("token")).join(frequency, "token", "left")
+    w = Window.partitionBy("q").orderBy(F.coalesce("n", F.lit(0)), "token")
+    rare = ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 2)
+    of_words = rare.groupBy("q").agg(F.array_sort(F.collect_list("token")).alias("r")).select("q", F.explode(_pair_keys(F.col("r"))).alias("key"))
+    one = classes.where(F.size("q_c") == 1).withColumn("word", F.col("q_c")[0])
+    others = F.array_except(F.when(F.size("q_r") > 0, F.col("q_r")).otherwise(F.col("q_a")), "q_c")
+    of_names = one.select("q", F.explode(F.transform(others, lambda x: F.xxhash64(F.least(x, "word"), F.greatest(x, "word")))).alias("key"))
+    met = of_words.unionByName(of_names).join(held.select(file_id, F.explode(_pair_keys(F.col("f_w"))).alias("key")), "key").select("q", file_id)
+    word = F.col("token")
+    first = held.select(file_id, "f_all", "f_t", F.explode("f_w").alias("token")).groupBy(
+        word.alias("word"), F.array_contains("f_t", word).alias("in_title"), F.array_contains("f_all", word).alias("in_all"), F.array_contains("f_t", "remix").alias("remix")
+    ).agg(F.min(file_id).alias(file_id))
+    met = met.unionByName(one.where(F.size("q_r") == 0).join(first, "word").select("q", file_id)).distinct()
+    both = met.join(classes, "q").join(f, file_id)
+    size = F.size("q_c")
+    in_title = F.size(F.array_intersect("q_c", "f_t")) / size
+    anywhere = F.size(F.array_intersect("q_c", "f_all")) / size
+    artist_there = (F.size("q_a") > 0) & F.arrays_overlap("q_a", "f_all")
+    partial = F.greatest(in_title, anywhere * 0.85) * 0.7
+    score = F.when(in_title >= 0.999, F.when(artist_there, 0.95).when(F.size("q_t") >= 3, 0.9).otherwise(0.45)).otherwise(F.when(artist_there, partial + 0.2).otherwise(partial * 0.5))
+    other_cut = F.when(F.size("q_r") > 0, ~F.arrays_overlap("q_r", "f_t")).otherwise(False) | (F.array_contains("f_t", "remix") & ~F.array_contains("q_t", "remix"))
+    scored = both.select("q", file_id, F.round(F.when(other_cut, F.least(score, F.lit(0.45))).otherwise(score), 6).alias("score")).where(F.col("score") >= least)
+    best = scored.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col(file_id).alias("f"))).alias("x"))
+    return q.select(query_id, "q").join(best, "q").select(query_id, F.col("x.f").alias(file_id), (-F.col("x.s")).alias("score"))
+
+
 def superseded(marked: DataFrame, marked_id: str, marked_tokens: str, plain: DataFrame, plain_id: str, plain_tokens: str) -> DataFrame:
     """Ids of marked rows all of whose words occur in one plain row of another id.
 
@@ -125,6 +174,24 @@ def superseded(marked: DataFrame, marked_id: str, marked_tokens: str, plain: Dat
     return m.join(span, "m_c").where((F.col("lo") != F.col(marked_id)) | (F.col("hi") != F.col(marked_id))).select(marked_id).distinct()
 
 
+def superseded_cut(marked: DataFrame, marked_id: str, plain: DataFrame, plain_id: str, title_tokens: str, all_tokens: str, same_cut: tuple[tuple[str, ...], tuple[str, ...]]) -> DataFrame:
+    """Ids of marked rows beside which a plain row of another id has the same title and artists.
+
+    Words of same_cut are left aside in a title that has one of its first and one of its second, such as "original mix"; one alone may belong to the title.
+
+    Over sets of words a further artist who is named in the title adds nothing to them, so the rule of equal titles and a subset of the
+    artists is the equality of both sets: a remix never stands for the original, nor another artist's title for this one.
+    """
+    any_of = lambda words: F.array(*[F.lit(w) for w in words])
+    said = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    same = F.arrays_overlap(said(title_tokens), any_of(same_cut[0])) & F.arrays_overlap(said(title_tokens), any_of(same_cut[1]))
+    words = lambda c: F.array_sort(F.when(same, F.array_except(said(c), any_of([*same_cut[0], *same_cut[1]]))).otherwise(F.array_distinct(said(c))))
+    key = F.xxhash64(words(title_tokens), F.array_sort(F.array_except(words(all_tokens), words(title_tokens))))
+    span = plain.where(F.size(words(title_tokens)) > 0).groupBy(key.alias("key")).agg(F.min(plain_id).alias("lo"), F.max(plain_id).alias("hi"))
+    m = marked.where(F.size(words(title_tokens)) > 0).select(marked_id, key.alias("key")).join(span, "key")
+    return m.where((F.col("lo") != F.col(marked_id)) | (F.col("hi") != F.col(marked_id))).select(marked_id).distinct()
+
+
 def closest(left: DataFrame, left_id: str, left_key: str, left_value: str, right: DataFrame, right_id: str, right_key: str, right_value: str, tolerance: float) -> DataFrame:
     """For each left row the right row of the same key with the nearest value within the tolerance, the smaller id on ties.
 

@@ -92,6 +92,43 @@ def prune_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.superseded(marked, "file_no", "title_tokens", plain, "other", "all_tokens")
 
 
+# fixed values: words that say nothing about a recording; pairs that name the same cut
+STOP = ("the", "a", "an", "of", "and", "feat", "featuring", "ft", "with", "original", "mix", "mixed", "extended", "version", "radio", "edit", "rework", "dub", "vip", "instrumental", "club")
+SAME_CUT = (("original", "extended"), ("mix", "version", "edit", "cut"))
+
+
+def _best_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = F.split(F.coalesce("name", F.lit("")), r"\s-\s|[()\[\]]")
+    said = F.filter(F.transform(segments, lambda x: text.tokens(x, 1, STOP)), lambda x: F.array_contains(x, "remix"))
+    remixer = F.array_except(F.flatten(said), F.array(F.lit("remix")))
+    q = table(spark, sf_dir, "playlist_tracks").select("row_id", text.tokens(F.col("name"), 1, STOP).alias("t"), text.tokens(F.coalesce(F.array_join("artists", " "), F.lit("")), 1, STOP).alias("a"), remixer.alias("r"))
+    skip = F.array(*[F.lit(w) for w in STOP])
+    none = F.array().cast("array<string>")
+    f = table(spark, sf_dir, "file_entries").select("file_no", *[F.array_except(F.coalesce(c, none), skip).alias(c) for c in ("all_tokens", "title_tokens")])
+    return linkage.best_cut(q, "row_id", "t", "a", "r", f, "file_no", "all_tokens", "title_tokens")
+
+
+@query()
+def fuzzy_best_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best file of each playlist row by core words of the title and by artist, remixes apart."""
+    return _best_cut(spark, sf_dir)
+
+
+@query()
+def present_cut_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Playlist rows of which the library holds the same cut, and those it lacks."""
+    rows = table(spark, sf_dir, "playlist_tracks").select("row_id")
+    return rows.join(_best_cut(spark, sf_dir), "row_id", "left").select("row_id", F.col("score").isNotNull().alias("present"))
+
+
+@query()
+def prune_superseded_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one format whose cut stands in a file of another format, of the same title and artists."""
+    files = table(spark, sf_dir, "file_entries")
+    plain = files.where("extension <> 'mp3'").select(F.col("file_no").alias("other"), "title_tokens", "all_tokens")
+    return linkage.superseded_cut(files.where("extension = 'mp3'"), "file_no", plain, "other", "title_tokens", "all_tokens", SAME_CUT)
+
+
 @query("""
 WITH g AS (SELECT genre_id, list_distinct(string_split(lower(genre), ' ')) AS t FROM genre_reference)
 SELECT k.category_no, g.genre_id, CAST(count(*) AS BIGINT) AS common, round(count(*) / any_value(k.n), 6) AS coverage
