@@ -22,8 +22,6 @@ from tracklattice.llm.text import fold
 from tracklattice.operators.graph import connected_components
 from tracklattice.session import materialise
 
-#: occurrences from which on a word counts as known; names of known words only are compared letter for letter
-KNOWN = 12
 #: text that stands for a missing id
 NO_ID = ["", "-", "?", "??", "n/a", "na", "none", "null", "nan", "unknown", "0"]
 
@@ -55,7 +53,7 @@ def record_groups(df: DataFrame, id_col: str = "row_id", track_col: str = "track
     """Rows (id, grp): records of one group share grp. Records without an id and a describing name are groups of their own.
 
     Names are compared after words misspelt against the corpus are set right, then up to two typing errors in the whole name
-    without spaces; names of known words only (KNOWN) must agree exactly, so titles that differ in a word stay apart.
+    without spaces, whatever their words. Names that differ in one word for another stay apart where the two are words of their own, see _without_own_words.
     """
     rows = materialise(_named(df, id_col, track_col, name_col), "names")
     names = rows.where(F.size("words") > 0).select(F.array_join("words", " ").alias("name"), "words").groupBy("name").agg(F.first("words").alias("words"), F.count("*").alias("n"))
@@ -63,10 +61,8 @@ def record_groups(df: DataFrame, id_col: str = "row_id", track_col: str = "track
     counts = materialise(each.groupBy("word").agg(F.sum("n").alias("n")), "words")
     fixes = materialise(spelling.corrections(counts), "fixes")
     right = spelling.corrected(names, "name", "words", fixes).withColumn("s", F.array_join("words", ""))
-    known = counts.where(F.col("n") >= KNOWN).select(F.col("word"), F.lit(True).alias("known"))
-    new = right.select("s", F.explode("words").alias("word")).join(known, "word", "left").groupBy("s").agg(F.max(F.col("known").isNull()).alias("probe"))
-    right = materialise(right.select("name", "s"), "right")
-    close = spelling.near_equal(new)
+    right = materialise(right.select("name", "s", "words"), "right")
+    close = _without_own_words(materialise(spelling.near_equal(right.select("s").distinct()), "close"), right)
     node_name = lambda c: F.concat(F.lit("n|"), c)
     node_track = lambda c: F.concat(F.lit("t|"), c)
     held = rows.where(F.col("track").isNotNull() & (F.size("words") > 0)).select("track", F.array_join("words", " ").alias("name")).distinct().join(right, "name")
@@ -86,6 +82,25 @@ def record_groups(df: DataFrame, id_col: str = "row_id", track_col: str = "track
     return joined.select("id", F.coalesce("grp", F.concat(F.lit("r|"), F.col("id").cast("string"))).alias("grp"))
 
 
+def _without_own_words(close: DataFrame, right: DataFrame) -> DataFrame:
+    """close (a, b) without pairs that put one word for another, both words of their own.
+
+    Two words are that if neither is spelling.RATIO times as frequent among the names as the other, and less than half of the names of either
+    have a near name with the other: a misspelling stands beside the right form nearly always. Both are shares, so the size of the table doesn't count.
+    """
+    names = right.groupBy("s").agg(F.min("words").alias("w"))
+    both = close.join(names.select(F.col("s").alias("a"), F.col("w").alias("w_a")), "a").join(names.select(F.col("s").alias("b"), F.col("w").alias("w_b")), "b")
+    both = both.select("a", "b", F.array_except("w_a", "w_b").alias("x"), F.array_except("w_b", "w_a").alias("y"))
+    swaps = both.where((F.size("x") == 1) & (F.size("y") == 1)).select("a", "b", F.get("x", F.lit(0)).alias("x"), F.get("y", F.lit(0)).alias("y"))
+    sides = swaps.select(F.col("a").alias("s"), "x", "y").unionByName(swaps.select(F.col("b").alias("s"), F.col("y").alias("x"), F.col("x").alias("y")))
+    counts = names.select(F.explode(F.array_distinct("w")).alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    share = sides.groupBy("x", "y").agg(F.countDistinct("s").alias("m")).join(counts, "x")
+    other = share.select(F.col("x").alias("y"), F.col("y").alias("x"), F.col("m").alias("m_y"), F.col("n").alias("n_y"))
+    alike = F.greatest("n", "n_y") < F.least("n", "n_y") * spelling.RATIO
+    own = share.join(other, ["x", "y"]).where(alike & (2 * F.col("m") < F.col("n")) & (2 * F.col("m_y") < F.col("n_y"))).select("x", "y")
+    return close.join(swaps.join(own, ["x", "y"]).select("a", "b"), ["a", "b"], "left_anti")
+
+
 def choose(candidates: list[list[tuple]], admissible) -> list[int]:
     """Index of the candidate chosen in each bundle: branch and bound over (trust, value) lists, best total trust first.
 

@@ -72,25 +72,28 @@ def _segments(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
-def shifted(parts: int, chosen: tuple[int, ...], edits: int) -> list[tuple[int, ...]]:
-    """Shifts that the chosen segments of a string may show in one at most `edits` errors away: each step between them costs an error."""
+def shifted(parts: int, chosen: tuple[int, ...], edits: int, longer: int | None = None) -> list[tuple[int, ...]]:
+    """Shifts that the chosen segments of a string may show in one at most `edits` errors away: each step between them costs an error, and so do those
+    on to the shift of the end where it is known by how much the other string is longer."""
     out: list[tuple[int, ...]] = [(s,) for s in range(-edits, edits + 1)]
     for _ in chosen[1:]:
         out = [(*o, t) for o in out for t in range(-edits, edits + 1) if abs(o[0]) + sum(abs(b - a) for a, b in zip(o, o[1:])) + abs(t - o[-1]) <= edits]
-    return out
+    return out if longer is None else [o for o in out if abs(o[0]) + sum(abs(b - a) for a, b in zip(o, o[1:])) + abs(longer - o[-1]) <= edits]
 
 
 def near_equal(strings: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct strings of column s that differ by 1 to `edits` typing errors; b or a must be marked.
+    """Pairs (a, b), a < b, of the distinct strings of column s that differ by 1 to `edits` typing errors.
 
-    strings: (s STRING, probe BOOLEAN); pairs without a probe are not looked for. Of 2 * edits + 1 segments of a string, edits + 1 stay
+    strings: (s STRING) or (s STRING, probe BOOLEAN); with probe, pairs without a marked string are not looked for. Without it all strings are looked up, each
+    among those that are no longer. Of 2 * edits + 1 segments of a string, edits + 1 stay
     whole in any string that near, shifted by no more than the errors before them (two letters swapped across the border of segments break both). Pairs meet in an inverted index of all choices of
     edits + 1 segments, which cover more than half of a string: a beginning that a third of all strings share brings no pairs
     together. Strings of up to 3 * edits + 2 letters are left out. Two strings whose digits differ are no pair.
     """
     parts, whole = 2 * edits + 1, edits + 1
     choices = list(combinations(range(parts), whole))
-    moves = {c: shifted(parts, c, edits) for c in choices}
+    marked = "probe" in strings.columns
+    moves = {(c, more): shifted(parts, c, edits, more) for c in choices for more in range(-edits, edits + 1)}
 
     def code(length: int, c: tuple[int, ...], segs: tuple[str, ...]) -> int:
         return xxhash.xxh64_intdigest(f"{length}:{c}:{'|'.join(segs)}") - 2**63
@@ -107,10 +110,10 @@ def near_equal(strings: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
         for pdf in batches:
             for s in pdf["s"]:
                 out = set()
-                for length in range(len(s) - edits, len(s) + edits + 1):
+                for length in range(len(s) - edits, len(s) + (edits if marked else 0) + 1):
                     cut = _segments(length, parts)
                     for c in choices:
-                        for m in moves[c]:
+                        for m in moves[c, len(s) - length]:
                             if any(cut[i][0] + d < 0 or cut[i][0] + d + cut[i][1] > len(s) for i, d in zip(c, m)):
                                 continue
                             out.add(code(length, c, tuple(s[cut[i][0] + d : cut[i][0] + d + cut[i][1]] for i, d in zip(c, m))))
@@ -122,7 +125,8 @@ def near_equal(strings: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
             yield pdf[ok]
 
     long = strings.where(F.length("s") > 3 * edits + 2)
-    left = long.where("probe").select("s").mapInPandas(probe, "code long, a string")
+    long = long.repartition(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but many codes to make
+    left = (long.where("probe") if marked else long).select("s").mapInPandas(probe, "code long, a string")
     right = long.select("s").mapInPandas(index, "code long, b string")
     met = left.join(right, "code").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     met = met.where(F.regexp_replace("a", "[^0-9]", "") == F.regexp_replace("b", "[^0-9]", "")).where(F.levenshtein("a", "b", 2 * edits) >= 0)

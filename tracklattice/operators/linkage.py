@@ -133,7 +133,7 @@ def best_cut(
     w = Window.partitionBy("q").orderBy(F.coalesce("n", F.lit(0)), "token")
     rare = ranked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * share - 1e-9) + 2)
     of_words = rare.groupBy("q").agg(F.array_sort(F.collect_list("token")).alias("r")).select("q", F.explode(_pair_keys(F.col("r"))).alias("key"))
-    one = classes.where(F.size("q_c") == 1).withColumn("word", F.col("q_c")[0])
+    one = classes.where(F.size("q_c") == 1).withColumn("word", F.get("q_c", F.lit(0)))
     others = F.array_except(F.when(F.size("q_r") > 0, F.col("q_r")).otherwise(F.col("q_a")), "q_c")
     of_names = one.select("q", F.explode(F.transform(others, lambda x: F.xxhash64(F.least(x, "word"), F.greatest(x, "word")))).alias("key"))
     met = of_words.unionByName(of_names).join(held.select(file_id, F.explode(_pair_keys(F.col("f_w"))).alias("key")), "key").select("q", file_id)
