@@ -29,13 +29,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for written intermediate tables: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None)
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="tracklattice-")
-        spark.conf.set("spark.checkpoint.dir", set_dir)
-    return set_dir.rstrip("/")
+    """Folder for written intermediate tables: one of this application inside spark.checkpoint.dir, removed when the application ends.
+
+    Where the setting is missing a temporary folder serves, but in local mode only (tests): executors of a cluster could not
+    read it, so a cluster without the setting is an error that names it.
+    """
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _OWN:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir is not set: name a folder there that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="tracklattice-")
+        own = f"{base.rstrip('/')}/tracklattice-{app}"
+        path = context._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+        _OWN[app] = own
+    return _OWN[app]
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete the tables written so far; results that still read them can no longer be computed."""
+    own = _OWN.pop(spark.sparkContext.applicationId, None)
+    if own:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
