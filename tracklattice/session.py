@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 
+from py4j.java_gateway import JavaObject, JVMView
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,19 +49,24 @@ def shared_dir(spark: SparkSession) -> str:
             if not (context.master == "local" or context.master.startswith("local[")):
                 raise ValueError("spark.checkpoint.dir is not set: name a folder there that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tracklattice-")
-        own = f"{base.rstrip('/')}/tracklattice-{app}"
-        path = context._jvm.org.apache.hadoop.fs.Path(own)
-        path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
-        _OWN[app] = own
+        _OWN[app] = f"{base.rstrip('/')}/tracklattice-{app}"
+        atexit.register(_remove, context._jvm, context._jsc.hadoopConfiguration(), app)
     return _OWN[app]
 
 
 def discard(spark: SparkSession) -> None:
     """Delete the tables written so far; results that still read them can no longer be computed."""
-    own = _OWN.pop(spark.sparkContext.applicationId, None)
+    _remove(spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext.applicationId)
+
+
+def _remove(jvm: JVMView, conf: JavaObject, app: str) -> None:
+    own = _OWN.pop(app, None)
     if own:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        try:
+            path = jvm.org.apache.hadoop.fs.Path(own)
+            path.getFileSystem(conf).delete(path, True)
+        except (Py4JError, OSError):  # the JVM has gone already
+            pass
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
