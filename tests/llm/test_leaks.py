@@ -24,17 +24,53 @@ def test_whole_altered_and_part(spark):
     assert {(1, i) for i in (0, 1, 2, 3, 4, 5, 6, 8)} | {(3, 7)} == passage
 
 
-def test_short_quotes_and_other_values_are_none(spark):
-    other = ITEM
-    for a, b in zip(["6B", "3A", "31", "clipped", "drop", "patient", "mixer", "Maukzind", "metallic", "pad", "Fiseimdon Vandsak", "Lichen Techno", "Cinder Funk", "Bruxtru Kulek", "Diamglan Tazavrein", "feathered", "crate", "dusty", "chord"], ["2A", "8B", "64", "smoky", "fader", "sly", "booth", "Tralna", "warm", "tag", "Gikne Drotbre", "Umbra Bass", "Basalt Funk", "Meikro Plekret", "Stuxji Drovru", "tender", "groove", "rugged", "vocal"]):
-        other = other.replace(a, b)
-    passage, template = run(spark, [FILL + ITEM[:70] + FILL, FILL + other + FILL, None, "", "  "], items=[(1, ITEM), (2, OTHER), (6, OTHER.replace("Palja", "Kafar")), (7, ITEM.replace("31", "45"))])
-    assert not passage
-    assert all(d == 1 for _, d in template)
+NAMES = ["Vivrol", "Drotbre", "Stausjo", "Geilpli", "Titseis", "Maukzind", "Fiseimdon", "Vandsak", "Kulek", "Tazavrein", "Joxgarn", "Palja", "Lurom", "Trasus", "Bruxtru", "Diamglan", "Zirnlern", "Nexdrei", "Glalfa", "Vruske"]
 
 
-def test_empty_tables_repeats_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(L, "ITEM_BLOCK", 1)
+def question(names, n, unit="bars"):
+    a, b, c, d = names
+    return f"Explain how the mixer of {a} turns after {n} {unit} of noise. Mark false any claim linking {b} with a pad or {c} with the {n + 3}th record of {d}."
+
+
+def questions():
+    return [(i, question([f"{NAMES[(i * 4 + k * 3) % 20]}{'aeiou'[i % 5]}{'bdgkl'[i // 5]}" for k in range(4)], 10 + 7 * i)) for i in range(20)]
+
+
+def test_a_question_asked_again_with_other_values_is_a_template(spark):
+    docs = [FILL + question(["Ostrava", "Quimby", "Ruiz", "Nakano"], 4242, "seconds") + FILL, FILL + questions()[3][1], FILL + questions()[3][1][:60], FILL * 3]
+    passage, template = run(spark, docs, questions())
+    assert passage == {(3, 1)}
+    assert {(i, 0) for i in range(20)} <= template and not {p for p in template if p[1] >= 2}
+
+
+def test_short_quotes_are_none(spark):
+    passage, template = run(spark, [FILL + ITEM[:70] + FILL, FILL + ITEM[130:190] + FILL, None, "", "  "])
+    assert not passage and not template
+
+
+def test_passages_come_through_template_windows(spark, monkeypatch):
+    assert run(spark, [ITEM])[0] == {(1, 0)}
+    keys = L._item_keys
+    monkeypatch.setattr(L, "_item_keys", lambda items, frame: keys(items, frame).where("slots = 0"))
+    assert run(spark, [ITEM])[0] == set()
+
+
+def test_types():
+    t = L.Templates(frozenset({"after", "of"}))
+    code, _ = t.typed(L.tokens_of("after 31 bars of Maukzind bars"))
+    assert code[1:3].tolist() == [L.NUMBER, L.UNIT] and code[4:].tolist() == [L.NAME, L.NAME] and code[0] > L.NAME
+
+
+def test_frame_is_counted_over_all_items(spark):
+    df = spark.createDataFrame(questions(), "item_id long, text string").repartition(7)
+    frame = L.common_wording(L._item_tokens(df, "item_id", "text"))
+    assert {"explain", "mixer", "claim"} <= frame and not {w for w in frame if w.startswith(("maukzind", "vivrol"))}
+
+
+def test_empty_tables_repeats_and_a_passage_in_a_third_of_the_texts(spark):
     passage, _ = run(spark, [ITEM, ITEM])
     assert {(1, 0), (1, 1)} <= passage
     assert run(spark, [ITEM], items=[(4, None)]) == (set(), set())
+    assert run(spark, [None], items=[(1, ITEM)]) == (set(), set())
+    passage, _ = run(spark, [FILL + ITEM if i % 3 == 0 else FILL for i in range(600)])
+    assert passage == {(1, i) for i in range(0, 600, 3)}

@@ -105,11 +105,17 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.where(F.col("kind") == "passage").select("item_id", "doc_id").distinct()
 
 
+def p7_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All leaks with the share held: passages, and questions asked again with other values (kind template)."""
+    got = leaks.leaked_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return got.select("item_id", "doc_id", F.round("share", 6).alias("share"), F.round("slots", 6).alias("slots"), "kind").distinct()
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of all sentences of all documents."""
     docs = table(spark, sf_dir, "documents")
     return sentences.split_sentences(docs, sentences.learn(docs)).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_bundles": p1_bundles, "p2_found": p2_found, "p2_topk": p2_topk, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p1_bundles": p1_bundles, "p2_found": p2_found, "p2_topk": p2_topk, "p3_found": p3_found, "p4_found": p4_found, "p4_links": p4_links, "p5_found": p5_found, "p5_typical": p5_typical, "p6_ids": p6_ids, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}

@@ -25,16 +25,31 @@ def _one_script(word: str) -> str:
     return word.translate(LOOKALIKES) if _OTHER.search(word) and _LATIN.search(word) else word
 
 
+class _Plain(dict):
+    """Code point -> its folded form, filled as signs are met."""
+
+    def __missing__(self, point: int) -> str:
+        sign = unicodedata.normalize("NFKC", INVISIBLE.sub("", chr(point)))
+        sign = unicodedata.normalize("NFD", sign.lower().translate(PLAIN)).replace("ς", "σ")
+        sign = unicodedata.normalize("NFC", "".join(c for c in sign if unicodedata.category(c) != "Mn" or c in "\u3099\u309a"))
+        self[point] = sign
+        return sign
+
+
+_PLAIN = _Plain()
+_MIXED = re.compile("[A-Za-zÀ-ɏ]\\d*[Ͱ-ϿЀ-ԯ]|[Ͱ-ϿЀ-ԯ]\\d*[A-Za-zÀ-ɏ]")
+
+
 def fold(text: str) -> str:
     """Compatibility form, entities read, invisible characters, accents and case removed, lookalike letters in mixed words replaced."""
-    if text.isascii() and "&" not in text:
-        return text.lower()
     if "&" in text:
         text = html.unescape(text)
-    text = INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
-    text = _WORD.sub(lambda m: _one_script(m[0]), text)
-    text = unicodedata.normalize("NFD", text.lower().translate(PLAIN))
-    return unicodedata.normalize("NFC", "".join(c for c in text if unicodedata.category(c) != "Mn" or c in "゙゚"))
+    if text.isascii():
+        return text.lower()
+    text = INVISIBLE.sub("", text)
+    if _MIXED.search(text):
+        text = _WORD.sub(lambda m: _one_script(m[0]), unicodedata.normalize("NFKC", text))
+    return unicodedata.normalize("NFC", text.translate(_PLAIN))
 
 
 # fixed values: digits and signs written for letters
