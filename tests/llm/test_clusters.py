@@ -1,4 +1,6 @@
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from tracklattice.llm import clusters as C
 
@@ -58,6 +60,44 @@ def test_hot_cell_is_split_and_joined_again(spark, monkeypatch):
     assert all(r.typical[0] == r.medoid_index for r in top.itertuples())
 
 
+def test_a_third_of_the_rows_are_copies(spark):
+    rows, label = planted(sizes=(40, 15), noise=20)
+    n = 60_000
+    hot = [float(x) for x in rows[0]]
+    copies = spark.range(1000, 1000 + n).select("id", F.array(*[F.lit(x).cast("float") * (F.col("id") % 7 + 1).cast("float") for x in hot]).alias("v"))
+    df = frame(spark, rows).select(F.col("track_index").alias("id"), "v").unionByName(copies).repartition(6)
+    sent = C.communities_of(df, 24, n + len(rows), 0.7, 0.8)[0]
+    assert sent.count() == len(rows) and sent.agg(F.max("n")).collect()[0][0] == n + 1  # one class a direction
+    got = C.similarity_clusters(df, "id", "v").toPandas()
+    assert sorted(got.groupby("medoid_index").size()) == [15, n + 40] and got["member_index"].is_unique
+    assert got.loc[got["size"] > 100, "medoid_index"].iloc[0] == 0
+
+
+def test_parts_and_pieces_follow_the_count(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(24)
+    rows = [centre + 0.01 * rng.standard_normal(24) for _ in range(900)]
+    classes, nodes = C.communities_of(frame(spark, rows).select(F.col("track_index").alias("id"), "v"), 24, 900, 0.7, 0.8)
+    assert classes.count() == 900 and classes.select("key").distinct().count() == 900
+    assert nodes.agg(F.sum("n")).collect()[0][0] == 900
+    got = C.similarity_clusters(frame(spark, rows), "track_index", "v")
+    assert got.select("medoid_index").distinct().count() == 1 and got.count() == 900
+
+
+def test_single_rows_of_many_blocks_meet_again(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 4)
+    rows, label = planted(sizes=(12, 11), noise=40, seed=3)
+    got = C.similarity_clusters(frame(spark, rows), "track_index", "v").toPandas()
+    assert sorted(got.groupby("medoid_index").size()) == [11, 12]
+
+
+def test_unsettled_clusters_are_an_error(spark):
+    rows, _ = planted()
+    with pytest.raises(RuntimeError, match="settle"):
+        C.similarity_clusters(frame(spark, rows), "track_index", "v", rounds=0)
+
+
 def test_neighbour_descent_recall():
     rng = np.random.default_rng(5)
     u = rng.standard_normal((1500, 12))
