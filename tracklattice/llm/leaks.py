@@ -141,7 +141,7 @@ class Bits:
 
     @classmethod
     def empty(cls, keys: int) -> Bits:
-        return cls(np.zeros(min(MOST_BITS, max(1 << 16, 1 << (24 * keys).bit_length())) // 8, np.uint8))
+        return cls(np.zeros(min(MOST_BITS, max(1 << 16, 1 << (96 * keys).bit_length())) // 8, np.uint8))
 
     def _at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return keys & self.mask, (keys >> np.uint64(33)) & self.mask
