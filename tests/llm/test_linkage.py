@@ -1,9 +1,10 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracklattice.llm import linkage as L
 
 P = "row_id long, name string, artists array<string>, duration_sec double, confidence double"
-F = "file_no long, title_tokens array<string>, all_tokens array<string>, audio_duration_sec double, exact string"
+FILES = "file_no long, title_tokens array<string>, all_tokens array<string>, audio_duration_sec double, exact string"
 
 
 def frames(spark, copies=30):
@@ -20,7 +21,7 @@ def frames(spark, copies=30):
 
 
 def run(spark, rows, files):
-    got = L.linked_pairs(spark.createDataFrame(rows, P), spark.createDataFrame(files, F)).collect()
+    got = L.linked_pairs(spark.createDataFrame(rows, P), spark.createDataFrame(files, FILES)).collect()
     return {(r["row_id"], r["file_no"]) for r in got if r["exact"] and r["confidence"] >= 0.5}
 
 
@@ -37,6 +38,30 @@ def test_pairs_versions_and_noise(spark):
     assert not {p for p in got if p[0] in (103, 104) or p[1] in (201, 202)} and (101, 200) not in got and (100, 0) not in got
 
 
+def test_short_titles_without_a_duration_meet(spark):
+    rows, files = frames(spark)
+    rows += [(200, "Hello", ["Adele"], None, 1.0), (201, "Hello", ["Adele"], 0.0, 1.0), (202, "Amber Dovetail", ["Nora Vale"], None, 1.0), (203, "Quartz Opal", ["Zephyr Moss"], None, 1.0)]
+    files += [(200, ["hello"], ["adele", "hello"], 180.0, "x"), (201, ["hello"], ["adele", "hello"], None, "x"), (203, ["quartz", "opla"], ["zephyr", "moss", "quartz", "opla"], None, "x")]
+    got = run(spark, rows, files)
+    assert {(200, 200), (200, 201), (201, 200), (201, 201), (202, 0)} <= got
+    assert not {p for p in got if p[0] in (200, 201) and p[1] < 200}
+
+
+def test_blocking_loses_next_to_none_of_the_pairs_that_brute_force_finds(spark, monkeypatch):
+    data = [spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("playlist_tracks", "file_entries")]
+    data[0] = data[0].where("row_id % 3 = 0")  # a fixture: every pair of what is left is compared
+    pairs = lambda: {(r["row_id"], r["file_no"]) for r in L.linked_pairs(*data).where("exact").collect()}
+    blocked = pairs()
+    monkeypatch.setattr(L, "_candidates", lambda pc, fc: pc.join(fc, pc["kind"] == fc["kind"]).select("p", "f"))
+    every = pairs()
+    assert blocked <= every and len(blocked) >= 0.995 * len(every), (len(blocked), len(every))
+
+
+def test_lower_end_of_a_share(spark):
+    got = [spark.range(1).select(L._lower_share(F.lit(k), n)).collect()[0][0] for k, n in ((5, 100), (50, 1000), (5000, 100_000), (0, 10))]
+    assert got[0] < got[1] < got[2] < 0.05 and abs(got[3]) < 1e-12
+
+
 def test_empty_tables(spark):
     rows, files = frames(spark, 3)
     assert run(spark, [], files) == set() and run(spark, rows, []) == set()

@@ -36,3 +36,13 @@ def test_corrections(spark):
     got = {r["word"]: r["right"] for r in S.corrections(spark.createDataFrame(counts, "word string, n long")).collect()}
     assert got == {"remx": "remix", "remixx": "remix", "kestral": "kestrel", "kestrle": "kestrel"}
     assert S.corrections(spark.createDataFrame([], "word string, n long")).count() == 0
+
+
+def test_corrected_by_map_and_by_join(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, ["remx", "a", "remx"], 5), (2, [], 6), (3, ["kestral"], None)], "id long, w array<string>, x int")
+    fixes = spark.createDataFrame([("remx", "remix"), ("kestral", "kestrel")], "word string, right string")
+    want = {1: (["remix", "a", "remix"], 5), 2: ([], 6), 3: (["kestrel"], None)}
+    for most in (10, 0):
+        monkeypatch.setattr(S, "SMALL_FIXES", most)
+        assert {r["id"]: (r["w"], r["x"]) for r in S.corrected(rows, ["w"], fixes, "id").collect()} == want
+        assert S.corrected(rows, ["w"], fixes.limit(0), "id").count() == 3

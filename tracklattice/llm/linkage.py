@@ -33,6 +33,8 @@ TOLERANCE = 3.0
 LONGEST_SECONDS = 10_000.0
 #: share of the files from which on a word that no playlist holds says nothing
 NOISE_SHARE = 0.01
+#: share of all occurrences that the rarest words, which may be misspelt, make up at most
+ODD_SHARE = 0.025
 LEVELS = ("title", "artist", "version", "rest", "duration")
 _BRACKET = re.compile(r"[(\[{]([^()\[\]{}]*)[)\]}]?")
 _CREDIT = re.compile(r"\b(?:feat|ft|featuring)\b\.?.*$")
@@ -77,6 +79,12 @@ def artist_parts(artists: list[str] | None) -> tuple[list[str], list[str], list[
     return main, every, sorted(set(joined))
 
 
+def _lower_share(k: Column, n: int, z: float = 2.6) -> Column:
+    """Lower end of the Wilson interval of the share k of n."""
+    p = k / F.lit(float(n))
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)
+
+
 def _seconds(c: Column) -> Column:
     known = F.when(F.col("d").isNotNull() & ~F.isnan("d") & (F.col("d") > 0), F.col("d"))
     return F.round(F.when(known > LONGEST_SECONDS, known / 1000).otherwise(known), 1)
@@ -111,13 +119,11 @@ def _files(df: DataFrame, id_col: str, title_tokens: str, all_tokens: str, durat
 
 
 def _right(rows: DataFrame, fields: list[str], fixes: DataFrame) -> DataFrame:
-    """rows (id, fields) with the words of the array columns set right and sorted, each word once."""
-    def tagged(f: str) -> Column:
-        return F.transform(f, lambda w: F.struct(F.lit(f).alias("f"), w.alias("word")))
-
-    each = rows.select("id", F.explode(F.concat(*[tagged(f) for f in fields])).alias("x")).select("id", "x.f", "x.word")
-    fixed = each.join(fixes, "word", "left").select("id", "f", F.coalesce("right", "word").alias("w"))
-    return fixed.groupBy("id").agg(*[F.array_sort(F.collect_set(F.when(F.col("f") == f, F.col("w")))).alias(f) for f in fields])
+    """rows with the words of the array columns set right and sorted, each word once."""
+    fixed = spelling.corrected(rows, fields, fixes, "id")
+    for f in fields:
+        fixed = fixed.withColumn(f, F.array_sort(F.array_distinct(f)))
+    return fixed
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60, start: float = 0.2) -> tuple[np.ndarray, dict]:
@@ -158,14 +164,18 @@ def _stretch(d: float | None) -> int | None:
 def playlist_keys(t: list[str], v: list[str], m: list[str], credited: list[str], d: float | None) -> set[int]:
     """Blocking keys of a playlist class: all words with a stretch of the duration, triples, and a title word with two of the artist's.
 
-    A triple has as many of the title's words as a match may hold: all but one, two of two, three at most. -1 and -2 stand for a file and
-    a playlist row of unknown duration.
+    A triple has as many of the title's words as a match may hold: all but one, three at most; of titles of two words, both, or one with two words of the main
+    artist. -1 and -2 stand for a file and a playlist row of unknown duration.
     """
     b = _stretch(d)
     near = [] if b is None else [b - 1, b, b + 1]
-    whole = sorted({*t, *v})
-    out = {_hash("whole", *whole, x) for x in ([*near, -1] if near else [-2, -1])}
-    title = set(t)
+    title, main = set(t), set(m)
+    out = {_hash("whole", *words, x) for words in (sorted({*t, *v}), sorted({*t, *v, *m})) for x in ([*near, -1] if near else [-2, -1])}
+    if len(title) <= 2:  # one of the title's words may be misspelt, whatever the duration
+        for w in title:
+            out |= {_hash("three", *sorted((w, *x))) for x in combinations(sorted(main - {w}), 2)}
+            if len(main) == 1:
+                out.add(_hash("two", *sorted((w, *main))))
     need = min(3, max(len(title) - 1, min(len(title), 2)))
     others = sorted(set(credited) - title)
     for of_title in range(need, min(3, len(title)) + 1):
@@ -181,6 +191,8 @@ def file_keys(w: list[str], wt: list[str], d: float | None) -> set[int]:
     """Blocking keys of a file class that meet those of playlist_keys."""
     b = _stretch(d)
     out = {_hash("three", *x) for x in combinations(sorted(set(w)), 3)}
+    if len(w) <= 3:
+        out |= {_hash("two", *x) for x in combinations(sorted(set(w)), 2)}
     if len(w):
         out |= {_hash("whole", *sorted(w), x) for x in ([b, -2] if b is not None else [-1])}
     if b is not None:
@@ -205,6 +217,13 @@ def _file_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield _spread(pdf, "f", [file_keys(w, wt, d) for w, wt, d in zip(pdf["w"], pdf["wt"], pdf["d"])])
 
 
+def _candidates(pc: DataFrame, fc: DataFrame) -> DataFrame:
+    """Pairs (p, f) of classes that meet in a blocking pass."""
+    left = pc.select("p", "kind", "t", "v", "m", "g", "j", "d").mapInPandas(_playlist_keys, "p long, kind string, key long")
+    right = fc.select("f", "kind", "w", "wt", "d").mapInPandas(_file_keys, "f long, kind string, key long")
+    return left.join(right, ["key", "kind"]).select("p", "f").distinct()
+
+
 def linked_pairs(
     playlist: DataFrame, files: DataFrame, row_id: str = "row_id", name: str = "name", artists: str = "artists", duration: str = "duration_sec",
     file_id: str = "file_no", title_tokens: str = "title_tokens", all_tokens: str = "all_tokens", file_duration: str = "audio_duration_sec",
@@ -223,18 +242,26 @@ def linked_pairs(
     said_p = p0.select(F.explode(F.flatten(F.array(*fields))).alias("word")).groupBy("word").agg(F.count("*").alias("n_p"))
     said_f = f0.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n_f"))
     counts = materialise(said_p.join(said_f, "word", "full").na.fill(0).withColumn("n", F.col("n_p") + F.col("n_f")), "words")
-    n_files = f0.count()
     fixes = materialise(spelling.corrections(counts.select("word", "n")), "fixes")
-    noise_rows = counts.where((F.col("n_p") == 0) & (F.col("n_f") >= max(3.0, NOISE_SHARE * n_files))).select("word").limit(1 + round(2 / NOISE_SHARE) * 20).collect()
-    neutral = sorted(NEUTRAL | {r["word"] for r in noise_rows})  # words that each fill a hundredth of the files: a bounded number
-    skip = F.array(*[F.lit(w) for w in neutral])
+    n_files = max(1, f0.count())
+    # words that each fill NOISE_SHARE of the files, by the lower end of the share's confidence interval: fewer than (words of a file) / NOISE_SHARE
+    noise = counts.where((F.col("n_p") == 0) & (_lower_share(F.col("n_f"), n_files) >= NOISE_SHARE)).select("word").collect()
+    skip = F.array(*[F.lit(w) for w in sorted(NEUTRAL | {r["word"] for r in noise})])
     marks = F.array(*[F.lit(w) for w in sorted(REMIX | LIVE)])
-    # words that stand often enough to be names or title words of their own; the rest may be misspelt
-    known = counts.where(F.col("n") >= 5).select("word").withColumn("known", F.lit(1))
+    # words of their own: all but the rarest, and names of artists written as one word; the rest may be misspelt
+    octaves = counts.groupBy(F.floor(F.log2("n")).alias("octave")).agg(F.sum("n").alias("n")).orderBy("octave").collect()  # at most 64 rows
+    mass, least = 0, 0
+    for r in octaves:
+        mass += r["n"]
+        if mass > ODD_SHARE * sum(x["n"] for x in octaves):
+            break
+        least = 2 ** (r["octave"] + 1)
+    joined = p0.select(F.explode("j").alias("word"))
+    known = counts.where(F.col("n") >= least).select("word").unionByName(joined).distinct().withColumn("known", F.lit(1))
 
-    p = p0.select("id", "d", "j", F.coalesce(F.get("kind", F.lit(0)), F.lit("")).alias("kind")).join(_right(p0, fields, fixes), "id").where(F.size("t") > 0)
+    p = _right(p0.withColumn("kind", F.coalesce(F.get("kind", F.lit(0)), F.lit(""))), fields, fixes).where(F.size("t") > 0)
     p = p.withColumn("p", F.xxhash64("t", "v", "kind", "m", "g", "j", F.coalesce("d", F.lit(-1.0))))
-    f = f0.select("id", "d").join(_right(f0, ["w", "wt"], fixes), "id")
+    f = _right(f0, ["w", "wt"], fixes)
     raw = F.array_except("w", skip)
     f = f.select(
         "id", "d", F.array_except(raw, marks).alias("w"), F.array_except(F.array_except("wt", skip), marks).alias("wt"), F.arrays_overlap("w", F.array(*[F.lit(w) for w in sorted(REMIX)])).alias("remix"),
@@ -245,10 +272,7 @@ def linked_pairs(
     pc = p.groupBy("p").agg(*[F.first(c).alias(c) for c in ("t", "v", "kind", "m", "g", "j", "d")])
     fc = f.groupBy("f").agg(*[F.first(c).alias(c) for c in ("w", "wt", "kind", "feat", "d")])
 
-    left = pc.select("p", "kind", "t", "v", "m", "g", "j", "d").mapInPandas(_playlist_keys, "p long, kind string, key long")
-    right = fc.select("f", "kind", "w", "wt", "d").mapInPandas(_file_keys, "f long, kind string, key long")
-    met = left.join(right, ["key", "kind"]).select("p", "f").distinct()
-    both = met.join(pc, "p").join(fc.select("f", "w", "feat", F.col("d").alias("f_d")), "f")
+    both = _candidates(pc, fc).join(pc, "p").join(fc.select("f", "w", "feat", F.col("d").alias("f_d")), "f")
 
     main_joined = F.array(F.array_join("m", ""), F.array_join(F.reverse("m"), ""))
     has_joined = F.arrays_overlap("w", main_joined) & (F.size("m") > 0)

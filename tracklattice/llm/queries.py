@@ -84,7 +84,7 @@ def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of playlist rows and files of one recording."""
+    """Pairs of playlist rows and files of one recording: a confidence of 0.5, then the definition's own conditions (known durations within 3 seconds, one title)."""
     return p4_links(spark, sf_dir).where((F.col("confidence") >= 0.5) & F.col("exact")).select("row_id", "file_no")
 
 

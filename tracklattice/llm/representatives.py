@@ -55,40 +55,28 @@ def record_groups(df: DataFrame, id_col: str = "row_id", track_col: str = "track
     Names are compared after words misspelt against the corpus are set right, then up to two typing errors in the whole name
     without spaces, whatever their words. Names that differ in one word for another stay apart where the two are words of their own, see _without_own_words.
     """
-    rows = materialise(_named(df, id_col, track_col, name_col), "names")
-    names = rows.where(F.size("words") > 0).select(F.array_join("words", " ").alias("name"), "words").groupBy("name").agg(F.first("words").alias("words"), F.count("*").alias("n"))
-    each = names.select(F.explode("words").alias("word"), "n")
-    counts = materialise(each.groupBy("word").agg(F.sum("n").alias("n")), "words")
+    named = materialise(_named(df, id_col, track_col, name_col), "names")
+    counts = materialise(named.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")), "words")
     fixes = materialise(spelling.corrections(counts), "fixes")
-    right = spelling.corrected(names, "name", "words", fixes).withColumn("s", F.array_join("words", ""))
-    right = materialise(right.select("name", "s", "words"), "right")
-    close = _without_own_words(materialise(spelling.near_equal(right.select("s").distinct()), "close"), right)
+    rows = spelling.corrected(named, ["words"], fixes, "id").withColumn("s", F.when(F.size("words") > 0, F.array_join("words", "")))
+    rows = materialise(rows, "right")
+    strings = materialise(rows.where("s is not null").groupBy("s").agg(F.min("words").alias("w")), "strings")
+    close = _without_own_words(materialise(spelling.near_equal(strings.select("s")), "close"), strings)
     node_name = lambda c: F.concat(F.lit("n|"), c)
     node_track = lambda c: F.concat(F.lit("t|"), c)
-    held = rows.where(F.col("track").isNotNull() & (F.size("words") > 0)).select("track", F.array_join("words", " ").alias("name")).distinct().join(right, "name")
-    edges = held.select(node_track(F.col("track")).alias("a"), node_name(F.col("s")).alias("b")).unionByName(close.select(node_name(F.col("a")).alias("a"), node_name(F.col("b")).alias("b")))
-    labels = connected_components(edges)
-    # nodes without an edge keep their own name as group
-    by_name = right.select("name", node_name(F.col("s")).alias("name_node"))
-    nodes = (
-        rows.select("track", F.array_join("words", " ").alias("name")).distinct()
-        .join(by_name, "name", "left")
-        .withColumn("node", F.coalesce(node_track(F.col("track")), "name_node"))
-        .join(labels, "node", "left")
-        .select("track", "name", F.coalesce("component", "node").alias("grp"))
-    )
-    keyed = rows.select("id", "track", F.array_join("words", " ").alias("name"))
-    joined = keyed.join(nodes, keyed["name"].eqNullSafe(nodes["name"]) & keyed["track"].eqNullSafe(nodes["track"]), "left").select("id", "grp")
-    return joined.select("id", F.coalesce("grp", F.concat(F.lit("r|"), F.col("id").cast("string"))).alias("grp"))
-
-
-def _without_own_words(close: DataFrame, right: DataFrame) -> DataFrame:
+    held = rows.where("track is not null and s is not null").select(node_track(F.col("track")).alias("a"), node_name(F.col("s")).alias("b")).distinct()
+    labels = connected_components(held.unionByName(close.select(node_name(F.col("a")).alias("a"), node_name(F.col("b")).alias("b"))))
+    # nodes without an edge keep their own name as group, records without a node are alone
+    keyed = rows.select("id", F.coalesce(node_track(F.col("track")), node_name(F.col("s")), F.concat(F.lit("r|"), F.col("id").cast("string"))).alias("node"))
+    return keyed.join(labels, "node", "left").select("id", F.coalesce("component", "node").alias("grp"))
+
+
+def _without_own_words(close: DataFrame, names: DataFrame) -> DataFrame:
     """close (a, b) without pairs that put one word for another, both words of their own.
 
     Two words are that if neither is spelling.RATIO times as frequent among the names as the other, and less than half of the names of either
     have a near name with the other: a misspelling stands beside the right form nearly always. Both are shares, so the size of the table doesn't count.
     """
-    names = right.groupBy("s").agg(F.min("words").alias("w"))
     both = close.join(names.select(F.col("s").alias("a"), F.col("w").alias("w_a")), "a").join(names.select(F.col("s").alias("b"), F.col("w").alias("w_b")), "b")
     both = both.select("a", "b", F.array_except("w_a", "w_b").alias("x"), F.array_except("w_b", "w_a").alias("y"))
     swaps = both.where((F.size("x") == 1) & (F.size("y") == 1)).select("a", "b", F.get("x", F.lit(0)).alias("x"), F.get("y", F.lit(0)).alias("y"))

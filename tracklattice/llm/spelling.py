@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +18,8 @@ from tracklattice.llm.text import typo_distance
 #: a word is taken for a misspelling of one that is so many times as frequent
 RATIO = 8
 MOST_EDITS = 2
+#: corrections up to which they are sent to the tasks
+SMALL_FIXES = 200_000
 
 
 def _deletions(word: str) -> list[str]:
@@ -55,11 +60,37 @@ def _exact_edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf
 
 
-def corrected(rows: DataFrame, key: str, words: str, fixes: DataFrame) -> DataFrame:
-    """rows (key unique, words an array) with misspelt words replaced; other columns are dropped."""
-    each = rows.select(key, F.posexplode_outer(words).alias("pos", "word"))
-    fixed = each.join(fixes, "word", "left").select(key, F.struct("pos", F.coalesce("right", "word").alias("w")).alias("x"))
-    return fixed.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"]).alias(words))
+def corrected(rows: DataFrame, fields: list[str], fixes: DataFrame, key: str) -> DataFrame:
+    """rows with the words of the array columns `fields` (not null) set right, in place; other columns stay.
+
+    Up to SMALL_FIXES corrections go to the tasks as they are, and nothing is shuffled; beyond that words meet them in a join and return by `key`, which
+    must be unique.
+    """
+    if fixes.count() <= SMALL_FIXES:
+        known = fixes.toPandas()
+        sent = rows.sparkSession.sparkContext.broadcast((known["word"].tolist(), known["right"].tolist()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, rights = (pa.array(x, pa.string()) for x in sent.value)
+            for batch in batches:
+                columns = []
+                for name, column in zip(batch.schema.names, batch.columns):
+                    if name in fields:
+                        flat = column.flatten()
+                        at = pc.index_in(flat, words)
+                        offsets = np.zeros(len(column) + 1, np.int32)
+                        np.cumsum(np.asarray(column.value_lengths().fill_null(0)), out=offsets[1:])
+                        column = pa.ListArray.from_arrays(pa.array(offsets), pc.if_else(pc.is_valid(at), rights.take(at), flat))
+                    columns.append(column)
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+        return rows.mapInArrow(run, rows.schema)
+    out = rows
+    for f in fields:
+        each = rows.select(key, F.posexplode(f).alias("pos", "word")).join(fixes, "word", "left").select(key, F.struct("pos", F.coalesce("right", "word").alias("w")).alias("x"))
+        fixed = each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["w"]).alias("__right"))
+        out = out.join(fixed, key, "left").withColumn(f, F.coalesce("__right", f)).drop("__right")
+    return out
 
 
 def _segments(length: int, parts: int) -> list[tuple[int, int]]:
