@@ -5,7 +5,7 @@ import pytest
 from tracklattice.llm import sentences as S
 
 MODEL = S.Model(
-    starters={"*": {"The", "He"}}, abbreviations={"*": {"Dr", "No", "p.m", "e.g", "z", "B", "г", "д", "د"}}, after_number={"*": {"Mai"}}, after_shout={"*": {"Records"}},
+    final={"ครับ", "ค่ะ", "คะ"}, abbreviations={"*": {"Dr", "No", "p.m", "e.g", "z", "B", "г", "д", "د"}}, after_number={"*": {"Mai"}}, after_shout={"*": {"Records"}},
 )
 
 
@@ -40,6 +40,15 @@ def test_layout():
     assert split("He ran to the bar at\n12. The end came.") == ["He ran to the bar at\n12.", "The end came."]
 
 
+def test_long_quotations_words_and_entities():
+    inner = "He ran. " * 200
+    assert split(f"She wrote: “{inner}It ended.” The end.") == [f"She wrote: “{inner}It ended.”", "The end."]
+    model = S.Model(abbreviations={"*": {"Hauptbahnhofstr"}})
+    assert S.sentence_ends("Die Hauptbahnhofstr. Nord ist lang. Ende.", model) == [35, 41]
+    assert split("He plays &lsquo;Fox&rsquo;? She sings &lsquo;Cat&rsquo;.") == ["He plays &lsquo;Fox&rsquo;?", "She sings &lsquo;Cat&rsquo;."]
+    assert len(S.sentence_ends("A.B." * 100_000, MODEL)) == 1
+
+
 def test_no_text():
     assert S.sentence_ends("", MODEL) == [] and S.sentence_ends(" \n\t ", MODEL) == [] and S.sentence_ends("Fox  \n", MODEL) == [3]
 
@@ -48,6 +57,25 @@ def test_very_long_text_without_marks():
     assert S.sentence_ends("word " * 50_000, MODEL) == [249_999]
 
 
+def test_particles_and_collocations_are_learned(spark):
+    rng = random.Random(1)
+    thai = ["เบสกันช้าๆค่ะ", "ทำนองเบาครับ", "กลับ Riga ทำนองดังครับ", "เสียงดี Max กลับบ้านค่ะ"]
+    german = ["Der Fuchs kam am 3. Mai nach Rom.", "Wer singt?", "Der Hund lief!", "Die Uhr war uralt.", "Die Katze fraß Brötchen."]
+    texts = [" ".join(rng.choice(thai) for _ in range(5)) for _ in range(300)] + [" ".join(rng.choice(german) for _ in range(8)) for _ in range(60)]
+    df = spark.createDataFrame([(i, t, "th" if i < 300 else "de") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    model = S.learn(df)
+    assert model.is_final("ครับ") and model.is_final("ค่ะ") and not model.is_final("กลับ")
+    assert model.follows_number("de", "Mai") and not model.follows_number("de", "Der")
+    got = S.split_sentences(df, model).groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    assert all(got[i] == (5 if i < 300 else 8) for i in range(360))
+
+
+def test_likelihood_ratio(spark):
+    df = spark.createDataFrame([(30, 100, 10, 1000), (10, 100, 100, 1000), (0, 100, 5, 1000)], "k long, n long, l long, m long")
+    got = [r[0] for r in df.select(S.likelihood_ratio("k", "n", "l", "m")).collect()]
+    assert got[0] > 80 and got[1] == 0.0 and got[2] == 0.0
+
+
 def test_learned_lists_and_table(spark):
     rng = random.Random(0)
     kinds = ["Dr. Anna sleeps.", "The dog runs!", "The cat of Dr. Bob eats.", "Is it late?", "The end of p. 5 comes.", "He met Dr. Carl!", "He ran."]

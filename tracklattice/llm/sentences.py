@@ -13,10 +13,10 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from math import log
+from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,16 +28,26 @@ PAIRS = {"“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’",
 DOUBLE, ROUND = "“„«「", "(（"
 CLOSERS = "”’»›」』》)）]\"'"
 CONTINUE = ",;:—–-、，；：،"
+_STOP = re.compile("[。！？!?，,]")
 ATTRIBUTION = re.compile("[说說问問喊道叫答笑]")
 JAPANESE_QUOTE_PARTICLE = "とってはがをのに"
-THAI_FINAL = ("ครับ", "ค่ะ", "คะ", "จ้ะ", "จ๊ะ", "ขอรับ")
 EMOJI = re.compile(r"(?:[\U0001F1E6-\U0001F1FF]{2}|[←-⇿⌀-⏿☀-➿⬀-⯿\U0001F000-\U0001FAFF][︎️‍\U0001F3FB-\U0001F3FF⃣\U000E0020-\U000E007F♀♂☀-➿\U0001F300-\U0001FAFF]*)")
 _BREAK = re.compile(r"\r\n|[\n\r  \x85]")
 _ITEM = re.compile(r"\s*(?:([-*•‣◦·–—])\s+|(\d{1,3}[.)])\s+|(\d{1,2}:\d\d(?::\d\d)?)\s+)\S")
 _FINISHED = re.compile(r"[.!?…。！？؟।:：;；\"”’»›」』》)）\]\U0001F000-\U0001FAFF☀-➿️]\s*$")
 _CJK = re.compile("[぀-ヿ㐀-鿿豈-﫿]")
-_MARKS = re.compile(r"[.!?…。！？؟।॥;;]+|[“„«‹‘‚「『《(（\[”’»›」』》)）\]]|(?:" + "|".join(THAI_FINAL) + r")(?=\s)")
+_MARKS = re.compile(r"[.!?…。！？؟।॥;;]+|[“„«‹‘‚「『《(（\[”’»›」』》)）\]]|[\u0e00-\u0e7f](?=\s)")
+#: scripts that end sentences with a space, like any other break; letters of one final particle at most
+_UNMARKED = re.compile("[\u0e00-\u0e7f]")
+PARTICLE = 5
+#: log-likelihood ratio from which on a difference counts (one in a thousand by chance)
+RATIO = 10.83
+#: the same for words that start sentences, of which some are rare (one in twenty)
+STARTER_RATIO = 3.84
+#: words of all lists together that the tasks may be sent; more raise an error
+MOST_WORDS = 500_000
 _OPENERS = "\ufeff\u200b“„«‹‘‚「『《(（[\"'¿¡"
+_GAP = re.compile(r"\s(?=\S*$)")
 _SURE = re.compile(r"(?:[!?؟।！？。]+|(?<=[Ͱ-Ͽἀ-῿])[;;])[)）]*$")
 
 
@@ -45,17 +55,24 @@ _SURE = re.compile(r"(?:[!?؟।！？。]+|(?<=[Ͱ-Ͽἀ-῿])[;;])[)）]*$")
 class Model:
     """Lists by language; "*" holds those of all texts together."""
 
-    starters: dict[str, set[str]] = field(default_factory=dict)
     abbreviations: dict[str, set[str]] = field(default_factory=dict)
     plain: dict[str, set[str]] = field(default_factory=dict)  # words with a period that do end sentences
     after_number: dict[str, set[str]] = field(default_factory=dict)
     after_shout: dict[str, set[str]] = field(default_factory=dict)
+    final: set[str] = field(default_factory=set)  # last letters of sentences in scripts without end marks
+
+    @cached_property
+    def longest(self) -> int:
+        return max((len(w) for words in self.abbreviations.values() for w in words), default=0) + 16
 
     def is_abbreviation(self, lang: str, word: str) -> bool:
         if word in self.abbreviations.get(lang, ()):
             return True
         return word not in self.plain.get(lang, ()) and word in self.abbreviations.get("*", ())
 
+    def is_final(self, tail: str) -> bool:
+        return any(tail[-n:] in self.final for n in range(2, PARTICLE + 1))
+
     def follows_number(self, lang: str, word: str) -> bool:
         return word in self.after_number.get(lang, ()) or word in self.after_number.get("*", ())
 
@@ -114,6 +131,12 @@ def count_contexts(text: str, lang: str, into: Counter) -> None:
         if item:
             continue
         toks = text[a:b].split()
+        for i, t in enumerate(toks):
+            t = t.rstrip(CLOSERS)
+            if t and _UNMARKED.match(t[-1]):
+                for n in range(2, PARTICLE + 1):
+                    if len(t) >= n:
+                        into["*", "final" if i + 1 == len(toks) else "space", t[-n:], ""] += 1
         prev_end = True
         for i, t in enumerate(toks):
             word = t.lstrip(_OPENERS)
@@ -143,8 +166,9 @@ def count_contexts(text: str, lang: str, into: Counter) -> None:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 5) -> Model:
     """The lists of a corpus: counts over all texts, summed before they are shuffled, then reduced to the lists by ratio tests.
 
-    What comes to the driver are words seen at least `least` times in a deciding place, not texts; their number follows the
-    vocabulary of abbreviations and sentence starters, not the number of documents.
+    Starters, collocations and final particles are those words whose rate differs by a log-likelihood ratio of RATIO; abbreviations are words after whose
+    period sentences start less often than after sure ends, by their ratio. All of it stays in tables; what comes to the driver are the lists, of MOST_WORDS
+    words at most.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,52 +185,78 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
     counts = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null").mapInPandas(run, shape)
     counts = counts.groupBy("lang", "kind", "word", "next").agg(F.sum("n").alias("n"))
     counts = materialise(counts, "contexts")
-    per_word = counts.where("kind <> 'period'").groupBy("lang", "next").pivot("kind", ["sure", "mid", "shout"]).agg(F.sum("n")).na.fill(0)
-    # words that start sentences: seen after sure ends, and rarely inside a sentence
-    starters = per_word.where((F.col("sure") >= 3) & (F.col("mid") <= 0.25 * (F.col("sure") + F.col("mid")))).select("lang", "next")
-    plain_ends = counts.where("kind = 'period' and length(word) >= 5 and not contains(word, '.')").groupBy("lang", "next").agg(F.sum("n").alias("n_plain"))
-    all_plain = plain_ends.groupBy("lang").agg(F.sum("n_plain").alias("all_plain"))
-    sure = counts.where("kind = 'sure'").select("lang", "next", F.col("n").alias("n_sure"))
-    totals = counts.where("kind in ('sure', 'shout')").groupBy("lang").agg(
-        F.sum(F.when(F.col("kind") == "sure", F.col("n"))).alias("all_sure"), F.sum(F.when(F.col("kind") == "shout", F.col("n"))).alias("all_shout")
-    )
-    base = sure.join(starters, ["lang", "next"]).groupBy("lang").agg(F.sum("n_sure").alias("by_starters")).join(totals, "lang").select("lang", "all_sure", (F.col("by_starters") / F.col("all_sure")).alias("base"))
+    words_at = counts.where("kind in ('sure', 'mid', 'shout')").groupBy("lang", "next").pivot("kind", ["sure", "mid", "shout"]).agg(F.sum("n")).na.fill(0)
+    all_at = words_at.groupBy("lang").agg(*[F.sum(k).alias(f"all_{k}") for k in ("sure", "mid", "shout")])
+    # words that start sentences: more frequent after sure ends than inside sentences
+    starters = words_at.join(F.broadcast(all_at), "lang").where((likelihood_ratio("sure", "all_sure", "mid", "all_mid") >= STARTER_RATIO) & (F.col("mid") <= 0.25 * (F.col("sure") + F.col("mid")))).select("lang", "next", F.col("sure").alias("n_sure"))
+    starters = materialise(starters, "starters")
+    base = starters.groupBy("lang").agg(F.sum("n_sure").alias("by_starters")).join(all_at, "lang").select("lang", (F.col("by_starters") / F.col("all_sure")).alias("base"))
     pairs = counts.where("kind = 'period'")
     left = (
-        pairs.where("word <> '##'").join(starters.withColumn("starts", F.lit(1)), ["lang", "next"], "left")
-        .groupBy("lang", "word")
-        .agg(F.sum("n").alias("n"), F.sum(F.coalesce("starts", F.lit(0)) * F.col("n")).alias("n_start"), F.sum(F.when(F.col("next") == "<l>", F.col("n")).otherwise(0)).alias("n_low"))
-        .where((F.col("n") >= least) & (F.length("word") <= 12))
-        .join(base, "lang")
+        pairs.where("word <> '##'").join(starters.select("lang", "next", F.lit(1).alias("starts")), ["lang", "next"], "left")
+        .groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum(F.coalesce("starts", F.lit(0)) * F.col("n")).alias("n_start"))
+        .where(F.col("n") >= least).join(F.broadcast(base), "lang")
     )
     # a language decides on a word where it has a fair share of its occurrences, all texts together otherwise
     pooled = left.where("lang = '*'").select("word", F.col("n").alias("n_all"))
-    left = left.join(pooled, "word").where((F.col("lang") == "*") | (F.col("n") >= 0.3 * F.col("n_all"))).collect()
+    left = left.join(pooled, "word").where((F.col("lang") == "*") | (F.col("n") >= 0.3 * F.col("n_all")))
+    # of n periods after this word, as many sentence starts are expected as after sure ends, if it ends sentences
+    p = F.least(F.lit(0.99), F.greatest(F.lit(0.01), F.coalesce("base", F.lit(0.01))))
+    rate = F.least(F.lit(0.999), F.greatest(F.lit(0.001), F.col("n_start") / F.col("n")))
+    ratio = 2 * F.col("n") * (rate * F.log(rate / p) + (1 - rate) * F.log((1 - rate) / (1 - p)))
+    short = (rate < 0.4 * p) & (ratio > 4 + 6 * F.greatest(F.lit(0), F.length("word") - 3))  # long words need more evidence
+    left = left.select("lang", "word", short.alias("short"))
+    everywhere = left.where("short and lang = '*'").select("word")
+    plain = left.where("not short and lang <> '*'").join(everywhere, "word", "left_semi")  # languages in which an abbreviation of the others is none
+    # words that follow numbers, or one-word exclamations, more often than periods that end sentences
+    ends = pairs.where("length(word) >= 5 and not contains(word, '.')").groupBy("lang", "next").agg(F.sum("n").alias("n_plain"))
+    all_ends = ends.groupBy("lang").agg(F.sum("n_plain").alias("all_plain"))
     numbers = pairs.where("word = '##' and next not in ('<l>', '<d>', '<o>')").groupBy("lang", "next").agg(F.sum("n").alias("n"))
-    all_numbers = numbers.groupBy("lang").agg(F.sum("n").alias("all_n"))
-    number_words = numbers.join(starters, ["lang", "next"], "left_anti").where(F.col("n") >= least).join(all_numbers, "lang").join(plain_ends, ["lang", "next"], "left").join(all_plain, "lang").na.fill(0, ["n_plain"]).collect()
-    shouts = counts.where("kind = 'shout'").where(F.col("n") >= least).select("lang", "next", "n").join(totals, "lang").join(plain_ends, ["lang", "next"], "left").join(all_plain, "lang").na.fill(0, ["n_plain"]).collect()
-
+    numbers = numbers.join(starters, ["lang", "next"], "left_anti")
+    shouts = counts.where("kind = 'shout'").select("lang", "next", "n")
+
+    def follow(side: DataFrame, whole: DataFrame) -> DataFrame:
+        both = side.where(F.col("n") >= least).join(F.broadcast(whole), "lang").join(ends, ["lang", "next"], "left").join(F.broadcast(all_ends), "lang").na.fill(0, ["n_plain"])
+        often = F.col("n") / F.col("whole") > 6 * (F.col("n_plain") + 1) / F.greatest(F.lit(1), F.col("all_plain"))
+        return both.where(often & (likelihood_ratio("n", "whole", "n_plain", "all_plain") >= RATIO)).select("lang", F.col("next").alias("word"))
+
+    number_words = follow(numbers, pairs.where("word = '##' and next not in ('<l>', '<d>', '<o>')").groupBy("lang").agg(F.sum("n").alias("whole")))
+    shout_words = follow(shouts, all_at.select("lang", F.col("all_shout").alias("whole")))
+    # letters before the last break of a stretch against letters before any other break
+    tails = counts.where("kind in ('final', 'space')").groupBy("word").pivot("kind", ["final", "space"]).agg(F.sum("n")).na.fill(0)
+    all_tails = tails.where("length(word) = 2").agg(F.coalesce(F.sum("final"), F.lit(0)).alias("all_final"), F.coalesce(F.sum("space"), F.lit(0)).alias("all_space"))
+    tails = tails.crossJoin(F.broadcast(all_tails))  # one row of totals
+    final = tails.where((likelihood_ratio("final", "all_final", "space", "all_space") >= RATIO) & (F.col("final") * F.col("all_space") > F.col("space") * F.col("all_final"))).select(F.lit("*").alias("lang"), "word", F.col("final").alias("n"))
+    lists = None
+    for name, found in (("abbreviations", left.where("short").select("lang", "word")), ("plain", plain.select("lang", "word")), ("after_number", number_words), ("after_shout", shout_words), ("final", final)):
+        part = found.select(F.lit(name).alias("list"), "lang", "word", F.col("n") if name == "final" else F.lit(0).alias("n"))
+        lists = part if lists is None else lists.unionByName(part)
+    lists = materialise(lists, "lists")
+    if lists.count() > MOST_WORDS:
+        raise ValueError("the lists hold more than MOST_WORDS words; raise `least`")
     model = Model()
-    for r in starters.collect():
-        model.starters.setdefault(r["lang"], set()).add(r["next"])
-    for r in left:
-        # of n periods after this word, as many sentence starts are expected as after sure ends, if it ends sentences
-        seen, n, p = r["n_start"], r["n"], min(0.99, max(0.01, r["base"] or 0.01))
-        rate = min(max(seen / n, 0.001), 0.999)
-        ratio = 2 * n * (rate * log(rate / p) + (1 - rate) * log((1 - rate) / (1 - p)))
-        short = rate < 0.4 * p and ratio > 4 + 6 * max(0, len(r["word"]) - 3)  # long words need more evidence
-        (model.abbreviations if short else model.plain).setdefault(r["lang"], set()).add(r["word"])
-    for r in number_words:
-        if r["n"] / r["all_n"] > 6 * (r["n_plain"] + 1) / max(1, r["all_plain"]):
-            model.after_number.setdefault(r["lang"], set()).add(r["next"])
-    for r in shouts:
-        if r["n"] / r["all_shout"] > 6 * (r["n_plain"] + 1) / max(1, r["all_plain"]):
-            model.after_shout.setdefault(r["lang"], set()).add(r["next"])
+    tails_at: dict[str, int] = {}
+    for r in lists.collect():
+        if r["list"] == "final":
+            tails_at[r["word"]] = r["n"]
+        else:
+            getattr(model, r["list"]).setdefault(r["lang"], set()).add(r["word"])
+    # letters that nearly always stand at the end of one longer particle are no particle themselves
+    model.final = {w for w, n in tails_at.items() if not any(len(x) > len(w) and x.endswith(w) and m >= 0.9 * n for x, m in tails_at.items())}
     return model
 
 
-def _spans(text: str, a: int, b: int, longest: int = 600) -> dict[int, int]:
+def likelihood_ratio(k: str, n: str, l: str, m: str) -> Column:
+    """Log-likelihood ratio of k of n against l of m having one rate in common; 0 where the first rate is not the higher one."""
+    a, n, b, m = (F.col(x).cast("double") for x in (k, n, l, m))
+    n, m = F.greatest(n, F.lit(1.0)), F.greatest(m, F.lit(1.0))
+    part = lambda x, y: F.when(x > 0, x * F.log(x / y)).otherwise(F.lit(0.0))
+    p = (a + b) / (n + m)
+    ratio = 2 * (part(a, n * p) + part(n - a, n * (1 - p)) + part(b, m * p) + part(m - b, m * (1 - p)))
+    return F.when(a * m > b * n, ratio).otherwise(F.lit(0.0))
+
+
+def _spans(text: str, a: int, b: int) -> dict[int, int]:
     """Opening place -> closing place of the outermost quotations and brackets of a run; those never closed are left out."""
     stack: list[int] = []
     inner: list[tuple[int, int]] = []
@@ -227,7 +277,7 @@ def _spans(text: str, a: int, b: int, longest: int = 600) -> dict[int, int]:
     out: dict[int, int] = {}
     last = -1
     for o, c in sorted(inner):
-        if o > last and c - o <= longest:
+        if o > last:
             out[o] = c
             last = c
     return out
@@ -263,8 +313,7 @@ def sentence_ends(text: str, model: Model, lang: str = "") -> list[int]:
 def _run_ends(text: str, a: int, b: int, model: Model, lang: str) -> list[int]:
     ends: list[int] = []
     spans = _spans(text, a, b)
-    start = a
-    at = a
+    start = at = first = seen = a
     while start < b and text[start].isspace():
         start += 1
     while at < b:
@@ -294,8 +343,8 @@ def _run_ends(text: str, a: int, b: int, model: Model, lang: str) -> list[int]:
             elif text[close] == "」" or n in JAPANESE_QUOTE_PARTICLE:
                 split = n not in JAPANESE_QUOTE_PARTICLE
             elif opens and inside[-1] in "。！？…":
-                stop = re.search("[。！？!?，,]", text[nxt:b])
-                split = not ATTRIBUTION.search(text[nxt : nxt + (stop.start() if stop else 40)])
+                stop = _STOP.search(text, nxt, b)
+                split = not ATTRIBUTION.search(text, nxt, stop.start() if stop else b)
             else:
                 split = True
             if split:
@@ -308,9 +357,12 @@ def _run_ends(text: str, a: int, b: int, model: Model, lang: str) -> list[int]:
         j = m.end()
         if mark[0] in ";;":
             if not ("Ͱ" <= text[i - 1] <= "Ͽ" or "ἀ" <= text[i - 1] <= "῿") or i == a:
+                at = i + 1
+                continue
+        if _UNMARKED.match(mark):
+            if not model.is_final(text[max(start, j - PARTICLE) : j]):
                 at = j
                 continue
-        if mark in THAI_FINAL:
             end, nxt = _after(text, j, b)
             if nxt < b and text[nxt] not in CONTINUE + ENDERS:
                 ends.append(end)
@@ -326,7 +378,9 @@ def _run_ends(text: str, a: int, b: int, model: Model, lang: str) -> list[int]:
         if i == start:  # marks that open a sentence
             at = j
             continue
-        if _ends_here(text, i, mark, j, end, nxt, start, b, model, lang):
+        gap = _GAP.search(text, max(seen, start), i)
+        first, seen = gap.end() if gap else max(first, start), i  # where the word before the mark begins
+        if _ends_here(text, i, mark, j, end, nxt, start, first, b, model, lang):
             ends.append(end)
             start = at = nxt
         else:
@@ -339,7 +393,7 @@ def _word_at(text: str, i: int, b: int) -> str:
     return m[0].lstrip(_OPENERS).rstrip(ENDERS + CLOSERS + ",;:") if m else ""
 
 
-def _ends_here(text: str, i: int, mark: str, j: int, end: int, nxt: int, start: int, b: int, model: Model, lang: str) -> bool:
+def _ends_here(text: str, i: int, mark: str, j: int, end: int, nxt: int, start: int, first: int, b: int, model: Model, lang: str) -> bool:
     n = text[nxt]
     emoji = end > j
     spaced = nxt > j
@@ -355,21 +409,21 @@ def _ends_here(text: str, i: int, mark: str, j: int, end: int, nxt: int, start:
             return spaced and not _CJK.match(n) and n.isupper()
         return spaced or n.isupper()
     if mark[-1] in "!?;;":
-        first = text[start:i]
-        if mark == "!" and spaced and not re.search(r"\s", first.strip()) and first.strip()[:1].isupper() and model.follows_shout(lang, _word_at(text, nxt, b)):
+        said = text[start:i].strip() if mark == "!" and spaced else ""
+        if said and not re.search(r"\s", said) and said[:1].isupper() and model.follows_shout(lang, _word_at(text, nxt, b)):
             return False
         return spaced or n.isupper() or wide or n in _OPENERS
     # a period, perhaps with other marks
     if len(mark) > 1 and set(mark) & set("!?"):
         return True
-    left = re.search(r"\S+$", text[max(start, i - 40) : i])
-    word = (left[0] if left else "").lstrip(_OPENERS)
+    word = text[max(first, i - model.longest) : i].lstrip(_OPENERS)
+    short = i - first <= model.longest and model.is_abbreviation(lang, word)  # longer than any abbreviation otherwise
     quoted = j > i + len(mark) or (word and word[-1] in CLOSERS)
     if not spaced:
         if n.isdigit() or not (n.isupper() or wide or n in _OPENERS or not n.isascii()):
             return False
         tail = re.search(r"[^\W\d_]+$", word)
-        return bool(word) and (quoted or (tail is not None and len(tail[0]) >= 2 and tail[0][-1].islower() or word[-1].isdigit() or word[-1] in "%°")) and not model.is_abbreviation(lang, word)
+        return bool(word) and (quoted or (tail is not None and len(tail[0]) >= 2 and tail[0][-1].islower() or word[-1].isdigit() or word[-1] in "%°")) and not short
     if quoted or not word:
         return True
     nxt_word = _word_at(text, nxt, b)
@@ -377,7 +431,7 @@ def _ends_here(text: str, i: int, mark: str, j: int, end: int, nxt: int, start:
         return not model.follows_number(lang, nxt_word)
     if len(word) == 1 and word.isupper() and n not in _OPENERS:
         return False
-    return not model.is_abbreviation(lang, word)
+    return not short
 
 
 def split_sentences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
