@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,6 +103,14 @@ def _segments(length: int, parts: int) -> list[tuple[int, int]]:
     return out
 
 
+_BASE = 0x5851F42D4C957F2D
+
+
+@lru_cache(maxsize=4096)
+def _power(n: int) -> np.uint64:
+    return np.uint64(pow(_BASE, n, 1 << 64))
+
+
 def shifted(parts: int, chosen: tuple[int, ...], edits: int, longer: int | None = None) -> list[tuple[int, ...]]:
     """Shifts that the chosen segments of a string may show in one at most `edits` errors away: each step between them costs an error, and so do those
     on to the shift of the end where it is known by how much the other string is longer."""
@@ -124,41 +132,61 @@ def near_equal(strings: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
     parts, whole = 2 * edits + 1, edits + 1
     choices = list(combinations(range(parts), whole))
     marked = "probe" in strings.columns
+    cuts: dict[int, list[tuple[int, int]]] = {}
     moves = {(c, more): shifted(parts, c, edits, more) for c in choices for more in range(-edits, edits + 1)}
 
-    def code(length: int, c: tuple[int, ...], segs: tuple[str, ...]) -> int:
-        return xxhash.xxh64_intdigest(f"{length}:{c}:{'|'.join(segs)}") - 2**63
+    def codes(texts: list[str], length: int, c: tuple[int, ...], shifts: tuple[int, ...], prefix: np.ndarray) -> np.ndarray | None:
+        """Codes of the chosen segments of a string of `length`, shifted; None where a segment would not lie in the texts."""
+        cut = cuts[length] if length in cuts else cuts.setdefault(length, _segments(length, parts))
+        h = np.full(len(texts), (length * 131 + sum(1 << i for i in c)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1, dtype=np.uint64)
+        for i, d in zip(c, shifts):
+            begin, end = cut[i][0] + d, cut[i][0] + d + cut[i][1]
+            if begin < 0 or end >= prefix.shape[1]:
+                return None
+            part = prefix[:, end] - prefix[:, begin] * _power(end - begin)
+            h = (h ^ part ^ (part >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+        return h
+
+    def by_length(pdf: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, list[str], np.ndarray]]:
+        """(length, ids, strings, hashes of all beginnings) of the strings of each length."""
+        sizes = pdf["s"].str.len().to_numpy()
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            texts = pdf["s"].iloc[at].tolist()
+            signs = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(texts), n).astype(np.uint64)
+            prefix = np.zeros((len(texts), n + 1), dtype=np.uint64)
+            for i in range(n):
+                prefix[:, i + 1] = prefix[:, i] * np.uint64(_BASE) + signs[:, i] + np.uint64(1)
+            yield n, pdf["id"].to_numpy()[at], texts, prefix
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = []
-            for s in pdf["s"]:
-                cut = _segments(len(s), parts)
-                out += [(code(len(s), c, tuple(s[cut[i][0] : cut[i][0] + cut[i][1]] for i in c)), s) for c in choices]
-            yield pd.DataFrame(out, columns=["code", "b"])
+            for n, ids, texts, prefix in by_length(pdf):
+                with np.errstate(over="ignore"):
+                    out = [codes(texts, n, c, (0,) * whole, prefix) for c in choices]
+                yield pd.DataFrame({"code": np.concatenate(out).view(np.int64), "b": np.tile(ids, len(out))})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for s in pdf["s"]:
-                out = set()
-                for length in range(len(s) - edits, len(s) + (edits if marked else 0) + 1):
-                    cut = _segments(length, parts)
-                    for c in choices:
-                        for m in moves[c, len(s) - length]:
-                            if any(cut[i][0] + d < 0 or cut[i][0] + d + cut[i][1] > len(s) for i, d in zip(c, m)):
-                                continue
-                            out.add(code(length, c, tuple(s[cut[i][0] + d : cut[i][0] + d + cut[i][1]] for i, d in zip(c, m))))
-                yield pd.DataFrame({"code": list(out), "a": s})
+            for n, ids, texts, prefix in by_length(pdf):
+                out = []
+                with np.errstate(over="ignore"):
+                    for length in range(n - edits, n + (edits if marked else 0) + 1):
+                        out += [h for c in choices for m in moves[c, n - length] if (h := codes(texts, length, c, m, prefix)) is not None]
+                yield pd.DataFrame({"code": np.concatenate(out).view(np.int64), "a": np.tile(ids, len(out))})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ok = [1 <= typo_distance(a, b, edits) <= edits for a, b in zip(pdf["a"], pdf["b"])]
             yield pdf[ok]
 
-    long = strings.where(F.length("s") > 3 * edits + 2)
+    long = strings.where((F.length("s") > 3 * edits + 2)).withColumn("id", F.xxhash64("s"))
     long = long.repartition(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but many codes to make
-    left = (long.where("probe") if marked else long).select("s").mapInPandas(probe, "code long, a string")
-    right = long.select("s").mapInPandas(index, "code long, b string")
-    met = left.join(right, "code").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    left = (long.where("probe") if marked else long).select("id", "s").mapInPandas(probe, "code long, a long")
+    right = long.select("id", "s").mapInPandas(index, "code long, b long")
+    met = left.join(right, "code").where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+    met = met.join(long.select(F.col("id").alias("x"), F.col("s").alias("a")), "x").join(long.select(F.col("id").alias("y"), F.col("s").alias("b")), "y")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     met = met.where(F.regexp_replace("a", "[^0-9]", "") == F.regexp_replace("b", "[^0-9]", "")).where(F.levenshtein("a", "b", 2 * edits) >= 0)
     return met.mapInPandas(verify, "a string, b string")
