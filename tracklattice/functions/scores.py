@@ -64,6 +64,7 @@ def mood_scores(f: dict[str, Column]) -> dict[str, Column]:
     onset_var = f["onset_variance"] / (f["onset_density"] * f["onset_density"] + 1e-8)
     cv = f["centroid_variance"] / (f["centroid"] * f["centroid"] + 1e-8)
     stability = F.lit(1.0) - F.least(F.lit(1.0), cv * 10)
+    # fixed values: weights, centres and spans of the base moods
     moods = {
         "MEL": F.least(F.lit(1.0), f["chroma_variance"] / 0.10) * 0.55 + clip01((F.lit(0.025) - f["flatness"]) / 0.015) * 0.20,
         "DRK": rising(onset_var, 0.25, 2, 2) + rising(f["flatness"], 0.30, 0.018, 0.030) + rising(f["low"], 0.25, 50, 25) + rising(f["flux"], 0.20, 2.5, 2.5),
@@ -77,6 +78,66 @@ def mood_scores(f: dict[str, Column]) -> dict[str, Column]:
     return {name: clip01(score) for name, score in moods.items()}
 
 
+def service_moods(f: dict[str, Column], a: dict[str, Column]) -> dict[str, Column]:
+    """The eight base moods with the terms that values of a service add: valence, energy, instrumentalness, liveness, acousticness; null values add nothing."""
+    # fixed values: weight, centre and span of each term; a minus before the name means the lower the stronger
+    terms = {
+        "DRK": [("-valence", 0.15, 0.35, 0.25), ("energy", 0.10, 0.60, 0.30)], "HYPN": [("instrumentalness", 0.15, 0.70, 0.25), ("-valence", 0.10, 0.40, 0.30)],
+        "TRIB": [("instrumentalness", 0.10, 0.70, 0.25), ("energy", 0.10, 0.60, 0.30)], "DEEP": [("-energy", 0.15, 0.40, 0.25), ("-valence", 0.10, 0.35, 0.25)],
+        "ATM": [("-energy", 0.15, 0.35, 0.25), ("acousticness", 0.10, 0.40, 0.30)], "RAW": [("liveness", 0.15, 0.40, 0.30)], "MEL": [("valence", 0.15, 0.50, 0.30)],
+    }
+    out = {}
+    for name, score in mood_scores(f).items():
+        for term, *numbers in terms.get(name, []):
+            value = a[term.lstrip("-")]
+            score = score + F.coalesce((falling if term[0] == "-" else rising)(value, *numbers), F.lit(0.0))
+        out[name] = clip01(score)
+    return out
+
+
+def all_moods(f: dict[str, Column], a: dict[str, Column]) -> dict[str, Column]:
+    """Twenty-two moods: the base ones and weighted sums of them with features and service values, or what stands for missing values."""
+    b = service_moods(f, a)
+    cv = f["centroid_variance"] / (f["centroid"] * f["centroid"] + 1e-8)
+    onset_var = f["onset_variance"] / (f["onset_density"] * f["onset_density"] + 1e-8)
+    bright = F.coalesce(a["valence"], clip01(f["chroma_variance"] / 0.12))
+    gloomy = F.coalesce(1.0 - a["valence"], b["DRK"])
+    strong = F.coalesce(a["energy"], F.greatest(b["DRK"], b["TRIB"]))
+    calm = F.coalesce(1.0 - a["energy"], F.greatest(b["DEEP"], b["ATM"]))
+    acoustic = F.coalesce(a["acousticness"], clip01((F.lit(0.03) - f["flatness"]) / 0.03))
+    live = F.coalesce(a["liveness"], clip01(f["percussive"]))
+    # fixed values: weights of the sums
+    sums = {
+        "CIN": [(0.58, b["ATM"]), (0.34, b["MEL"]), (0.08, calm)], "EMO": [(0.58, b["MEL"]), (0.32, gloomy), (0.10, b["DEEP"])], "EUP": [(0.48, b["MEL"]), (0.32, bright), (0.20, strong)],
+        "GRIT": [(0.54, b["RAW"]), (0.30, b["DRK"]), (0.16, clip01(f["flux"] / 5.0))], "MIN": [(0.52, b["HYPN"]), (0.28, b["DEEP"]), (0.20, clip01((F.lit(2.0) - f["onset_density"]) / 2.0))],
+        "ORG": [(0.50, b["TRIB"]), (0.30, acoustic), (0.20, live)], "PLAY": [(0.42, bright), (0.30, clip01(f["onset_density"] / 3.0)), (0.28, b["MEL"])],
+        "PSY": [(0.52, b["ACID"]), (0.30, b["HYPN"]), (0.18, clip01(cv))], "SOUL": [(0.46, bright), (0.30, b["MEL"]), (0.24, acoustic)], "SUB": [(0.64, b["DEEP"]), (0.36, clip01((f["low"] - 45.0) / 35.0))],
+        "SUN": [(0.46, bright), (0.30, calm), (0.24, b["MEL"])], "TENS": [(0.46, b["DRK"]), (0.28, gloomy), (0.26, clip01(onset_var / 4.0))], "WARM": [(0.42, bright), (0.34, b["DEEP"]), (0.24, acoustic)],
+        "WHSE": [(0.46, b["RAW"]), (0.34, b["DRK"]), (0.20, strong)],
+    }
+    return b | {name: clip01(sum((w * x for w, x in parts), F.lit(0.0))) for name, parts in sums.items()}
+
+
+def vocal_scores(presence: Column, sustained: Column, sung: Column, f: dict[str, Column], a: dict[str, Column], moods: dict[str, Column]) -> dict[str, Column]:
+    """Seven vocal profiles; those that do not fit the flag are damped (0.65 of INST, TOOL and DUB where sung, 0.45 of the rest where not)."""
+    missing = 1.0 - presence
+    instrumental, speech, acoustic = (F.coalesce(a[k], F.lit(0.0)) for k in ("instrumentalness", "speechiness", "acousticness"))
+    deep = moods["DEEP"] + moods["SUB"] + moods["MIN"] + moods["ATM"]
+    echo = clip01(sustained / 0.15) * clip01((F.lit(0.60) - sustained) / 0.40)
+    # fixed values: weights of the profiles
+    out = {
+        "INST": clip01(0.65 * missing + 0.35 * instrumental),
+        "TOOL": clip01(0.45 * missing + rising(f["onset_density"], 0.30, 1.8, 1.6) + falling(f["chroma_variance"], 0.15, 0.06, 0.06) + rising(f["percussive"], 0.10, 0.35, 0.40)),
+        "DUB": clip01(echo * (0.50 * missing + 0.30 * deep + 0.10 * acoustic + 0.10 * instrumental)),
+        "VOC": clip01(0.70 * presence + 0.20 * (1.0 - instrumental) + 0.10 * sustained),
+        "FVOC": clip01(0.55 * presence + 0.30 * sustained + 0.15 * (1.0 - instrumental)),
+        "SPK": clip01(0.65 * speech + 0.20 * presence + 0.15 * (1.0 - sustained)),
+        "CHANT": clip01(0.35 * presence + 0.45 * moods["TRIB"] + 0.20 * sustained),
+    }
+    return {k: c * F.when(sung, 0.65 if k in ("INST", "TOOL", "DUB") else 1.0).otherwise(1.0 if k in ("INST", "TOOL", "DUB") else 0.45) for k, c in out.items()}
+
+
+# fixed values: thresholds of the vocal flag
 def vocal_presence(ratio: Column, activity: Column) -> Column:
     return clip01(clip01((ratio + 40) / 30) * 0.55 + clip01(activity / 0.7) * 0.45)
 
@@ -86,7 +147,7 @@ def has_vocals(ratio: Column, activity: Column) -> Column:
 
 
 def role(flow: Column, energy: Column, mood: Column) -> Column:
-    """Part that a track plays in a set: the first rule that holds."""
+    """Part that a track plays in a set: the first rule that holds (fixed values)."""
     return (
         F.when(flow == "B", "BREAKDOWN")
         .when((energy <= 2) & (flow == "L"), "TOOL")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklattice.plans import classifying, further, linking, resolving, sequences, vectorial  # noqa: F401
+from tracklattice.plans import classifying, coding, exchanging, further, linking, resolving, sequences, vectorial  # noqa: F401
 from tracklattice.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "majority_tempo"
