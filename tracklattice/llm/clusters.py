@@ -255,7 +255,8 @@ def _part_counts(src: DataFrame, blocks, dim: int) -> DataFrame:
 def communities_of(src: DataFrame, dim: int, n: int, threshold: float, close: float) -> tuple[DataFrame, DataFrame]:
     """(classes, nodes): classes (key, raw, n, first, node) holds every direction with the community of its block's graph, nodes (node, n, total) all communities."""
     spark = src.sparkSession
-    centres = V.fit_codebook(V.sample_matrix(src, "v", dim, n), min(V.MAX_CELLS, ceil(n / (BLOCK // 2))))
+    cells = min(V.MAX_CELLS, ceil(n / (BLOCK // 2)))
+    centres = V.fit_codebook(V.sample_matrix(src, "v", dim, n, cells), cells)
     if not len(centres):  # no clean vector at all
         return spark.createDataFrame([], "key binary, raw binary, n long, first long, node long"), spark.createDataFrame([], "node long, n long, total binary")
     flat = spark.sparkContext.broadcast(Blocks(centres, dim))  # at most MAX_CELLS rows
@@ -336,10 +337,11 @@ def community_labels(src: DataFrame, dim: int, n: int, threshold: float, close:
     names = nodes.select(F.col("node").alias("start"), "node")
     count, quiet, seed = nodes.count(), 0, 0
     while count > 1 and quiet < 2:
-        share = min(1.0, 1.2 * V.CODEBOOK_SAMPLE / count)
-        picked = nodes.where(F.rand(seed) < share).limit(V.CODEBOOK_SAMPLE).toPandas()
+        cells = min(V.MAX_CELLS, ceil(count / (2 * BLOCK)))
+        limit = min(V.CODEBOOK_SAMPLE, max(V.LEAST_SAMPLE, V.SAMPLE_CELL * cells))
+        picked = nodes.where(F.rand(seed) < min(1.0, 1.2 * limit / count)).limit(limit).toPandas()
         sample = _directions(np.frombuffer(b"".join(picked["total"]), dtype=np.float64).reshape(-1, dim)).astype(np.float32)
-        centres = V.fit_codebook(sample, min(V.MAX_CELLS, ceil(count / (2 * BLOCK))), seed=seed) if len(sample) else np.eye(1, dim, dtype=np.float32)
+        centres = V.fit_codebook(sample, cells, seed=seed) if len(sample) else np.eye(1, dim, dtype=np.float32)
         round_ = materialise(_merged(nodes, centres, dim, close), "round")
         moves = round_.where("total is null").select("node", "parent")
         names = materialise(names.join(moves, "node").select("start", F.col("parent").alias("node")), "names")

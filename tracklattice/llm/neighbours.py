@@ -168,7 +168,7 @@ def nearest_pairs(
     if not n or not dim:
         return empty
     cells = max(1, min(V.MAX_CELLS, round(1.2 * sqrt(n))))
-    centres = V.fit_codebook(V.sample_matrix(src, "v", dim, n), cells)
+    centres = V.fit_codebook(V.sample_matrix(src, "v", dim, n, cells), cells)
     if not len(centres):
         return empty
     book = spark.sparkContext.broadcast(centres)  # at most MAX_CELLS rows

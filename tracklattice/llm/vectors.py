@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: rows that the codebook is fitted on at most; every row is indexed
-CODEBOOK_SAMPLE = 16_000
-#: cells of the codebook at most
-MAX_CELLS = 2_048
+CODEBOOK_SAMPLE = 131_072
+#: cells of the codebook at most; the sample holds SAMPLE_CELL rows a cell, LEAST_SAMPLE at least
+MAX_CELLS = 16_384
+SAMPLE_CELL, LEAST_SAMPLE = 8, 16_000
 
 
 def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,8 +64,9 @@ def common_dim(df: DataFrame, column: str) -> int:
     return int(row[0]["n"]) if row else 0
 
 
-def sample_matrix(df: DataFrame, column: str, dim: int, n_rows: int, limit: int = CODEBOOK_SAMPLE) -> np.ndarray:
-    """Directions of a bounded pseudo-random sample of the rows, to fit a codebook on."""
+def sample_matrix(df: DataFrame, column: str, dim: int, n_rows: int, cells: int = 0) -> np.ndarray:
+    """Directions of a bounded pseudo-random sample of the rows, to fit a codebook of so many cells on."""
+    limit = min(CODEBOOK_SAMPLE, max(LEAST_SAMPLE, SAMPLE_CELL * cells))
     share = min(1.0, 1.2 * limit / max(1, n_rows))
     picked = df.select(column) if share >= 1 else df.select(column).where(F.rand(11) < share)
     got = picked.limit(limit).toArrow().column(0)
