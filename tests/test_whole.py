@@ -4,9 +4,11 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pytest
 
-from tracklattice.llm import representatives
+from tracklattice.operators import clusters, taxonomy
 from tracklattice.plans import linking
 from tracklattice.plans.catalogue import QUERIES
 
@@ -91,18 +93,32 @@ def test_superseded_by_the_same_cut_only(spark, tmp_path):
     assert {r["file_no"] for r in QUERIES["prune_superseded_cut"](spark, str(tmp_path)).collect()} == {3, 5}
 
 
-def test_misspelt_names_meet_however_often_they_are_delivered(spark):
-    """Words of under four letters, letters split off and words with a rare right form are misspelt in each of many deliveries."""
-    names = {"Nora Vale - Amber Dovetail": 40, "Nora Vale - Amber Dovet ail": 20, "Otto Lane - Granite Sky": 30, "Otto Lane - Granite Sk": 15, "Mia Frost - Ember Lagoon": 20, "Mia Frost - Ember Lagoom": 15}
-    titles = ["Harbour", "Indigo", "Kestrel", "Juniper", "Fathom", "Bramble"]
-    names |= {f"Ivan Stone - {w} {t}": 20 for t in titles for w in ("Silver", "Cinder")} | {f"Rosa Quill - Silver {t}": 20 for t in titles} | {f"Rosa Quill - Sliver {t}": 20 for t in ["Meadow", "Orchard", "Pepper", "Ribbon", "Saddle", "Harbour"]}
-    rows = [(i, None, f"{n}.mp3") for i, n in enumerate(n for n, k in names.items() for _ in range(k))]
-    df = spark.createDataFrame(rows, "row_id long, track_id string, file_name string")
-    name = {i: n[:-4] for i, _, n in rows}
-    grp = {}
-    for r in representatives.record_groups(df).collect():
-        grp.setdefault(name[r["id"]], set()).add(r["grp"])
-    assert all(len(g) == 1 for g in grp.values())
-    for a, b in (("Nora Vale - Amber Dovetail", "Nora Vale - Amber Dovet ail"), ("Otto Lane - Granite Sky", "Otto Lane - Granite Sk"), ("Mia Frost - Ember Lagoon", "Mia Frost - Ember Lagoom")):
-        assert grp[a] == grp[b]
-    assert grp["Rosa Quill - Silver Harbour"] != grp["Rosa Quill - Sliver Harbour"]  # words of their own: most names have no such twin
+def test_linked_groups_do_not_depend_on_the_size_of_blocks(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((9, 12))
+    rows = [(i, i % 3, [float(x) for x in centres[i % 9] + 0.05 * rng.standard_normal(12)]) for i in range(180)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, v array<double>")
+    parts = []
+    for most in (512, 8):
+        got = clusters.linked_groups(df, "label", "vec_id", "v", 0.3, most).toPandas()
+        parts.append(sorted(sorted(g) for _, g in got.groupby(["label", "cluster"])["vec_id"]))
+        assert got["vec_id"].is_unique and len(got) == 180
+    assert parts[0] == parts[1] and len(parts[0]) == 9 and all(len(g) == 20 for g in parts[0])
+
+
+def test_coarse_merge_down_to_half_and_its_bound(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i // 2, [1.0, 0.1 * i, 0.0]) for i in range(12)], "vec_id long, label int, v array<double>")
+    c = clusters.centres(df, "label", "v", 3)
+    merged = clusters.coarse_merge(c, "label")
+    assert len(set(merged.values())) == 3 and all(merged[m] == m for m in merged.values())
+    monkeypatch.setattr(clusters, "MAX_MERGED", 2)
+    with pytest.raises(ValueError):
+        clusters.coarse_merge(c, "label")
+
+
+def test_labels_of_any_length_are_matched(spark):
+    docs = spark.createDataFrame([(1, "One two three four five six, and seven."), (2, None), (3, "")], "d int, t string")
+    labels = spark.createDataFrame([(1, "one two three four five six"), (2, "Seven"), (3, ""), (4, "two four")], "l int, w string")
+    got = taxonomy.phrase_hits(docs, "d", "t", labels, "l", "w")
+    assert sorted((r["d"], r["l"], r["hits"]) for r in got.collect()) == [(1, 1, 1), (1, 2, 1)]
+    assert taxonomy.phrase_hits(docs, "d", "t", labels.limit(0), "l", "w").count() == 0

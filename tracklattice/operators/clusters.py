@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from tracklattice.functions import vectors
 from tracklattice.functions.music import is_wheel_code, wheel_distance
+from tracklattice.session import materialise
 
 #: groups up to which centres are broadcast
 MAX_GROUPS = 20_000
+#: groups whose distances to each other fit one matrix
+MAX_MERGED = 8_000
 
 
 def centres(rows: DataFrame, group: str, vector: str, dim: int) -> DataFrame:
@@ -78,16 +81,28 @@ def group_distances(c: DataFrame, group: str) -> DataFrame:
     return pairs.select("a", "b", (1 - vectors.dot(F.col("t_a"), F.col("t_b")) / (F.col("n_a") * F.col("n_b"))).alias("distance"))
 
 
-def coarse_merge(distances: pd.DataFrame, groups: list, keep: int) -> dict:
-    """Old group -> merged group: the two nearest groups are joined until `keep` remain; a joined group keeps the first one's distances."""
-    d = {(a, b): x for a, b, x in distances[["a", "b", "distance"]].itertuples(index=False)}
-    alive, label = sorted(groups), {g: g for g in groups}
-    while len(alive) > max(1, keep) and d:
-        (a, b), _ = min(d.items(), key=lambda kv: (kv[1], kv[0]))
-        label = {g: a if h == b else h for g, h in label.items()}
-        alive.remove(b)
-        d = {k: x for k, x in d.items() if b not in k}
-    return label
+def coarse_merge(c: DataFrame, group: str, keep: int | None = None) -> dict:
+    """Old group -> merged group: the two nearest groups by mean cosine distance are joined until `keep` remain (half of them by default); a joined group
+    keeps the first one's distances. c comes from centres; of its rows, one a group, MAX_MERGED are allowed, which is checked.
+    """
+    if c.limit(MAX_MERGED + 1).count() > MAX_MERGED:
+        raise ValueError("more groups than MAX_MERGED")
+    rows = c.orderBy(group).toPandas()
+    names, n = rows[group].tolist(), rows["n"].to_numpy(dtype=float)
+    total = np.array(rows["total"].tolist(), dtype=float).reshape(len(rows), -1)
+    d = np.round(1 - total @ total.T / np.outer(n, n), 9)
+    d[np.tril_indices(len(d))] = np.inf
+    label, alive = np.arange(len(names)), len(names)
+    nearest = d.min(axis=1, initial=np.inf)
+    while alive > max(1, len(names) // 2 if keep is None else keep):
+        a = int(nearest.argmin())
+        b = int(d[a].argmin())
+        label[label == b] = a
+        d[b], d[:, b] = np.inf, np.inf
+        nearest[b] = np.inf
+        nearest[:b] = d[:b].min(axis=1, initial=np.inf)
+        alive -= 1
+    return {g: names[i] for g, i in zip(names, label)}
 
 
 def silhouettes(rows: DataFrame, group: str, id_col: str, vector: str, dim: int) -> DataFrame:
@@ -182,15 +197,14 @@ def constrained_medoids(block: pd.DataFrame, id_col: str, vector: str, forbidden
     return pd.DataFrame({id_col: ids, "cluster": own, "medoid": [medoid[c] for c in own]})
 
 
-def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of average-linkage clustering cut at a threshold, for bounded matrices."""
+def average_linkage(distance: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Labels of average-linkage clustering cut at a threshold, for bounded matrices; sizes: rows that each starting group stands for."""
     n = len(distance)
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size = np.ones(n)
+    size = np.ones(n) if sizes is None else sizes.astype(float).copy()
     label = np.arange(n)
-    alive = np.ones(n, bool)
-    while alive.sum() > 1:
+    for _ in range(n - 1):
         i, j = divmod(int(d.argmin()), n)
         if d[i, j] > threshold:
             break
@@ -200,16 +214,50 @@ def average_linkage(distance: np.ndarray, threshold: float) -> np.ndarray:
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
-        alive[j] = False
         label[label == j] = i
-    return np.unique(label, return_inverse=True)[1]
+    return np.unique(label, return_inverse=True)[1] if n else label
+
+
+def linked_groups(rows: DataFrame, group: str, id_col: str, vector: str, threshold: float, most: int = 512) -> DataFrame:
+    """Rows (id, group, cluster): average-linkage clusters of each group by cosine distance; cluster is the smallest id.
+
+    Up to `most` rows of a group are one exact clustering. Larger groups are clustered in blocks, and the clusters of all blocks then go on as sums of
+    directions, whose inner products give the exact mean distances between clusters, block by block in other cuts until a round joins nothing more.
+    """
+    out = f"{group} {rows.schema[group].dataType.simpleString()}, node {rows.schema[id_col].dataType.simpleString()}, parent {rows.schema[id_col].dataType.simpleString()}, n double, total array<double>"
+
+    def link(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("node")
+        total, n, ids = np.array(pdf["total"].tolist(), dtype=float).reshape(len(pdf), -1), pdf["n"].to_numpy(), pdf["node"].to_numpy()
+        label = average_linkage(1 - total @ total.T / np.outer(n, n), threshold, n)
+        first = pd.Series(ids).groupby(label).min().to_numpy()
+        sums = np.zeros((len(first), total.shape[1]))
+        np.add.at(sums, label, total)
+        return pd.DataFrame({group: pdf[group].to_numpy(), "node": ids, "parent": first[label], "n": np.bincount(label, weights=n)[label], "total": [sums[k].tolist() for k in label]})
+
+    nodes = rows.select(group, F.col(id_col).alias("node"), F.lit(1.0).alias("n"), vectors.unit(F.col(vector)).alias("total"))
+    names, seed, quiet = rows.select(group, F.col(id_col).alias("start"), F.col(id_col).alias("node")), 0, 0
+    while True:
+        cut = in_blocks(nodes, group, "node", most, seed)
+        done = materialise(cut.groupBy(group, "block").applyInPandas(link, out), "linked")
+        names = materialise(names.join(done.select(group, "node", "parent"), [group, "node"]).select(group, "start", F.col("parent").alias("node")), "names")
+        fresh = done.where("node = parent").select(group, "node", "n", "total")
+        sizes = done.groupBy(group).agg(F.count("*").alias("rows"), F.sum((F.col("node") == F.col("parent")).cast("int")).alias("left"))
+        open_ = sizes.where(F.col("rows") > most).agg(F.sum("rows").alias("rows"), F.sum("left").alias("left")).collect()[0]
+        if open_["rows"] is None:
+            break
+        quiet = quiet + 1 if open_["rows"] == open_["left"] else 0
+        if quiet == 2:
+            break
+        nodes, seed = fresh, seed + 1
+    return names.select(F.col("start").alias(id_col), group, F.col("node").alias("cluster"))
 
 
-def in_blocks(rows: DataFrame, group: str, id_col: str, most: int = 512) -> DataFrame:
+def in_blocks(rows: DataFrame, group: str, id_col: str, most: int = 512, seed: int = 0) -> DataFrame:
     """rows with a block number inside their group, so that every (group, block) holds about `most` rows at most."""
     n = rows.groupBy(group).agg(F.count("*").alias("__n"))
     parts = F.ceil(F.col("__n") / most)
-    return rows.join(n, group).withColumn("block", F.pmod(F.xxhash64(id_col), parts).cast("int")).drop("__n")
+    return rows.join(n, group).withColumn("block", F.pmod(F.xxhash64(id_col, F.lit(seed)), parts).cast("int")).drop("__n")
 
 
 def ranked_within(rows: DataFrame, group: str, *order: Column, name: str = "place") -> DataFrame:

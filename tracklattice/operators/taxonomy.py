@@ -11,16 +11,18 @@ from tracklattice.functions import text
 MIN_FAMILY, MIN_MARGIN = 0.25, 0.06
 
 
-def phrase_hits(docs: DataFrame, doc_id: str, text_col: str, labels: DataFrame, label_id: str, label: str, longest: int = 4) -> DataFrame:
+def phrase_hits(docs: DataFrame, doc_id: str, text_col: str, labels: DataFrame, label_id: str, label: str) -> DataFrame:
     """Rows (doc_id, label_id, hits): how often a label's words stand in a document as a phrase.
 
     Both sides are cut into lower-case words of a to z and digits; a document is exploded into runs of as many words as labels
     have, and only runs that are labels leave the join (the labels are broadcast where Spark finds them small).
     """
     words = lambda c: F.filter(F.split(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    key = labels.select(label_id, words(F.col(label)).alias("w")).where(F.size("w").between(1, longest)).select(label_id, F.array_join("w", " ").alias("phrase"))
+    cut = labels.select(label_id, words(F.col(label)).alias("w")).where(F.size("w") > 0)
+    lengths = sorted(r["n"] for r in cut.select(F.size("w").alias("n")).distinct().collect())  # as many rows as labels have lengths
+    key = cut.select(label_id, F.array_join("w", " ").alias("phrase"))
     w = docs.where(F.col(text_col).isNotNull()).select(doc_id, words(F.col(text_col)).alias("w"))
-    runs = w.select(doc_id, F.explode(F.concat(*[text.ngrams(F.col("w"), n) for n in range(1, longest + 1)])).alias("phrase"))
+    runs = w.select(doc_id, F.explode(F.concat(*[text.ngrams(F.col("w"), n) for n in lengths] or [F.array().cast("array<string>")])).alias("phrase"))
     return runs.join(key, "phrase").groupBy(doc_id, label_id).agg(F.count("*").alias("hits"))
 
 

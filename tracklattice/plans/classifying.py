@@ -80,11 +80,21 @@ def text_ngrams_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.explode(text.ngrams(F.col("w"), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
 
 
-@query()
+_PLAIN = "list_filter(string_split_regex(regexp_replace(translate(lower({c}), 'áàâäãåāéèêëēíìîïīóòôöõøōúùûüūýÿñçšž', 'aaaaaaaeeeeeiiiiiooooooouuuuuyyncsz'), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: length(w) >= 2)"
+_FIRST = "list_filter(list_transform({w}, lambda x, i: CASE WHEN list_position({w}, x) = i THEN x END), lambda x: x IS NOT NULL)"
+
+
+@query(f"""
+WITH c AS (SELECT track_id, unnest([artist_canonical, title_canonical, label_canonical]) AS said FROM tracks_master), w AS (SELECT track_id, {_PLAIN.format(c='said')} AS raw FROM c WHERE said IS NOT NULL),
+d AS (SELECT track_id, {_FIRST.format(w='raw')} AS w FROM w), k AS (SELECT track_id, unnest(w) AS feature FROM d UNION SELECT track_id, w[i] || ' ' || w[i + 1] FROM (SELECT track_id, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) >= 2)),
+n AS (SELECT track_id, '=duration_sec_canonical' AS feature, CAST(duration_sec_canonical AS DOUBLE) AS value FROM tracks_master WHERE duration_sec_canonical IS NOT NULL UNION ALL SELECT track_id, '=linked_file_count', CAST(linked_file_count AS DOUBLE) FROM tracks_master WHERE linked_file_count IS NOT NULL)
+SELECT track_id, feature, 1.0::DOUBLE AS value FROM k UNION ALL SELECT * FROM n
+""")
 def feature_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse features of the tracks."""
+    """Sparse features of the tracks, one row an entry of their maps."""
     t = table(spark, sf_dir, "tracks_master")
-    return taxonomy.feature_map(t, "track_id", ["artist_canonical", "title_canonical", "label_canonical"], ["duration_sec_canonical", "linked_file_count"])
+    maps = taxonomy.feature_map(t, "track_id", ["artist_canonical", "title_canonical", "label_canonical"], ["duration_sec_canonical", "linked_file_count"])
+    return maps.select("track_id", F.explode("features").alias("feature", "value"))
 
 
 _PAIRS = f"{_SEL}, pr AS (SELECT t.track_id, g.family AS truth, sel.family AS predicted, score, margin FROM tracks_master t JOIN genre_reference g ON t.canonical_genre = g.genre LEFT JOIN sel USING (track_id))"

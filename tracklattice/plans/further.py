@@ -251,15 +251,9 @@ def richer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def agglomerative_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Average-linkage groups inside bounded blocks of a label."""
+    """Average-linkage groups of each label, cut at 0.9."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.array(pdf["embedding"].tolist(), dtype=float)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        return pdf[["vec_id", "label", "block"]].assign(cluster=clusters.average_linkage(1 - v @ v.T, 0.9))
-
-    return clusters.in_blocks(e, "label", "vec_id").groupBy("label", "block").applyInPandas(run, "vec_id long, label int, block int, cluster long")
+    return clusters.linked_groups(e, "label", "vec_id", "embedding", 0.9)
 
 
 @query()

@@ -142,9 +142,27 @@ SELECT l.label, CASE WHEN l.label = m.b THEN m.a ELSE l.label END AS merged FROM
 def coarse_merge_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two nearest labels merged."""
     c = clusters.centres(table(spark, sf_dir, "embeddings"), "label", "embedding", 64)
-    d = clusters.group_distances(c, "label").withColumn("distance", F.round("distance", 9)).toPandas()  # pairs of labels
-    groups = [int(r["label"]) for r in c.select("label").collect()]
-    label = clusters.coarse_merge(d, groups, len(groups) - 1)
+    label = clusters.coarse_merge(c, "label", c.count() - 1)
+    return spark.createDataFrame(pd.DataFrame({"label": list(label), "merged": list(label.values())}).astype("int32"))
+
+
+def _merge_steps(steps: int) -> str:
+    ctes = ["p0 AS (SELECT a, b, d FROM p)"]
+    for i in range(steps):
+        ctes.append(f"m{i} AS (SELECT a, b FROM p{i} ORDER BY d, a, b LIMIT 1), p{i + 1} AS (SELECT * FROM p{i} WHERE a NOT IN (SELECT b FROM m{i}) AND b NOT IN (SELECT b FROM m{i}))")
+    out = "label"
+    for i in range(steps):
+        out = f"(CASE WHEN {out} = (SELECT b FROM m{i}) THEN (SELECT a FROM m{i}) ELSE {out} END)"
+    return ", ".join(ctes) + f" SELECT label, {out} AS merged FROM (SELECT DISTINCT label FROM embeddings)"
+
+
+@query(f"""
+WITH {_U}, p AS (SELECT a.label AS a, b.label AS b, round(avg(1 - list_dot_product(a.v, b.v)), 9) AS d FROM u a JOIN u b ON a.label < b.label GROUP BY 1, 2), {_merge_steps(5)}
+""")
+def coarse_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels merged two by two until half of the ten remain."""
+    c = clusters.centres(table(spark, sf_dir, "embeddings"), "label", "embedding", 64)
+    label = clusters.coarse_merge(c, "label")
     return spark.createDataFrame(pd.DataFrame({"label": list(label), "merged": list(label.values())}).astype("int32"))
 
 

@@ -25,20 +25,23 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def hourly_counts(spark: SparkSession, path: str, lateness: str = "1 hour", per_batch: int = 8) -> DataFrame:
-    """Rows (start, event_type, n, total) of tumbling hours; a stream with watermark, appended hour by hour and run until it has caught up.
+    """Rows (start, event_type, n, total) of tumbling hours, run until the stream has caught up.
 
-    The last hours stay in the state while the watermark has not passed them; complete mode writes them out, too.
+    Update mode: a batch writes the hours it has changed, under its own number, so one that runs again replaces itself; the newest row of an hour
+    counts when the table is read. The state holds the hours that the watermark has not passed; events later than `lateness` are left out.
     """
     out = f"{shared_dir(spark)}/hours-{uuid.uuid4().hex}"
     events = _stream(spark, path, per_batch).withColumn("ts", F.col("ts").cast("timestamp"))
     agg = events.withWatermark("ts", lateness).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total").write.mode("overwrite").parquet(f"{out}/state")
+        batch.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total").write.mode("overwrite").parquet(f"{out}/parts/batch={epoch}")
 
-    q = agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    q = agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(f"{out}/state")
+    parts = spark.read.parquet(f"{out}/parts")
+    newest = F.max_by(F.struct("n", "total"), "batch").alias("x")
+    return parts.groupBy("start", "event_type").agg(newest).select("start", "event_type", "x.n", "x.total")
 
 
 def ingested_observations(spark: SparkSession, path: str, per_batch: int = 4) -> DataFrame:
