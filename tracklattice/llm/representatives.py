@@ -9,6 +9,7 @@ branch and bound, under functional dependencies between bundles.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import unquote
 
@@ -89,11 +90,26 @@ def _without_own_words(close: DataFrame, names: DataFrame) -> DataFrame:
     return close.join(swaps.join(own, ["x", "y"]).select("a", "b"), ["a", "b"], "left_anti")
 
 
-def choose(candidates: list[list[tuple]], admissible) -> list[int]:
+def choose(candidates: list[list[tuple]], admissible, linked: set[tuple[int, int]] | None = None) -> list[int]:
     """Index of the candidate chosen in each bundle: branch and bound over (trust, value) lists, best total trust first.
 
-    admissible(i, a, j, b) tells whether candidate a of bundle i may stand beside b of bundle j. A bundle may stay empty (-1).
+    admissible(i, a, j, b) tells whether candidate a of bundle i may stand beside b of bundle j. A bundle may stay empty (-1). linked: the pairs of bundles
+    that depend on each other (all, if left out); bundles that no dependency joins are solved apart, so the search is as deep as the longest chain
+    of dependencies, not as the number of bundles.
     """
+    n = len(candidates)
+    part = list(range(n))
+    for i, j in linked if linked is not None else {(i, i + 1) for i in range(n - 1)}:
+        part = [part[i] if x == part[j] else x for x in part]
+    best = [-1] * n
+    for p in set(part):
+        own = [i for i in range(n) if part[i] == p]
+        for i, k in zip(own, _search([candidates[i] for i in own], lambda i, a, j, b, own=own: admissible(own[i], a, own[j], b))):
+            best[i] = k
+    return best
+
+
+def _search(candidates: list[list[tuple]], admissible) -> list[int]:
     order = [sorted(range(len(c)), key=lambda k, c=c: (-c[k][0], str(c[k][1]))) for c in candidates]
     bound = [0.0] * (len(candidates) + 1)
     for i in range(len(candidates) - 1, -1, -1):
@@ -108,6 +124,8 @@ def choose(candidates: list[list[tuple]], admissible) -> list[int]:
             best, best_sum = taken[:], total
             return
         for k in order[i]:
+            if total + candidates[i][k][0] + bound[i + 1] <= best_sum:
+                break  # those that follow are trusted less
             if all(t < 0 or admissible(j, t, i, k) for j, t in enumerate(taken)):
                 visit(i + 1, [*taken, k], total + candidates[i][k][0])
         visit(i + 1, [*taken, -1], total)
@@ -119,21 +137,36 @@ def choose(candidates: list[list[tuple]], admissible) -> list[int]:
 def trusts(held: list[tuple[int, float | None, object]]) -> list[float]:
     """Trust of each candidate (records, confidence, date): more records first, then the higher confidence, then the later date.
 
-    Where a confidence is unknown on either side the date decides alone.
+    Where a confidence is unknown on either side the date decides alone. A candidate's trust is its records and the share of those with as many records
+    that it goes before; sorted, so a group of many values costs no more than sorting them.
     """
-    out = []
-    for i, (n, c, u) in enumerate(held):
-        wins = 0.0
-        for j, (m, d, v) in enumerate(held):
-            if i == j or m != n:
-                continue
-            if c is not None and d is not None and c != d:
-                wins += c > d
-            elif u is not None and v is not None and u != v:
-                wins += u > v
+    out = [float(n) for n, _, _ in held]
+    by_n: dict[int, list[int]] = {}
+    for i, (n, _, _) in enumerate(held):
+        by_n.setdefault(n, []).append(i)
+    for same in by_n.values():
+        if len(same) == 1:
+            continue
+        known = sorted(held[i][1] for i in same if held[i][1] is not None)
+        dates: dict[float | None, list] = {}  # confidence -> dates of those that hold it
+        for i in same:
+            dates.setdefault(held[i][1], []).append(held[i][2])
+        undated = {c: sum(u is None for u in us) for c, us in dates.items()}
+        dated = {c: sorted(u for u in us if u is not None) for c, us in dates.items()}
+        every = sorted(u for c, us in dated.items() if c is not None for u in us)
+        blank = None in dates
+        for i in same:
+            _, c, u = held[i]
+            wins = 0
+            if c is not None:
+                wins += bisect_left(known, c)
+                wins += bisect_left(dated[c], u) + undated[c] if u is not None else 0
+                if blank:  # the date decides, and where it can't, a known confidence is better
+                    later = len(dated[None]) - bisect_right(dated[None], u) if u is not None else 0
+                    wins += len(dates[None]) - later
             else:
-                wins += (c is not None and d is None) or (c is None) == (d is None) and (u is not None and v is None)
-        out.append(n + wins / (len(held) + 1))
+                wins += bisect_left(dated[None], u) + undated[None] + bisect_left(every, u) if u is not None else 0
+            out[i] += wins / (len(held) + 1)
     return out
 
 
@@ -189,7 +222,7 @@ def best_records(
                             return False
                     return True
 
-                pick = choose(lists, admissible)
+                pick = choose(lists, admissible, set(pairs))
                 out.append((grp, *[list(lists[i][k][1]) if k >= 0 else None for i, k in enumerate(pick)]))
             yield pd.DataFrame(out, columns=["grp", *names])
 
