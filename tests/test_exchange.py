@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracklattice.functions import codes
-from tracklattice.operators import exchange, features
+from tracklattice.operators import exchange, features, linkage, metrics, taxonomy
 
 
 def values(df, *cols):
@@ -75,3 +75,34 @@ def test_reasons_are_distinct_and_ordered(spark):
     e = spark.createDataFrame([("t", f"r{i % 12:02}", float(i % 3)) for i in range(24)], "id string, why string, w double")
     got = features.explained(e, "id", "why", "w").collect()[0]["reasons"]
     assert len(got) == 8 and len(set(got)) == 8 and got[:4] == ["r02", "r05", "r08", "r11"]
+
+
+def test_collapse_guard_keeps_the_flattest(spark):
+    def said(k):
+        return spark.range(12).select((F.col("id") % (k + 1)).alias("label"))
+
+    tried = []
+    model, labels, share = metrics.collapse_guard(lambda seed: tried.append(seed) or seed, said, 0.34)
+    assert (model, tried, round(share, 3)) == (2, [0, 1, 2], 0.333) and labels.count() == 12
+    assert metrics.collapse_guard(lambda seed: 0, said, 0.1, 2)[2] == 1.0
+
+
+def test_three_levels(spark):
+    e = spark.createDataFrame([("t", "F", None, None, 1.0), ("t", "F", "G", None, 1.0), ("t", "F", "G", "S", 0.5), ("t", None, "G", None, 9.0), ("t", "H", None, None, 0.0), ("u", "F", "G", "S", 0.1)], "id string, f string, g string, s string, d double")
+    scores = taxonomy.path_scores(e, "id", "f", "g", "s", "d")
+    assert values(scores.where("id = 't'").na.fill("-"), "family", "genre", "subgenre", "score") == [("F", "-", "-", 1.41), ("F", "G", "-", 1.26), ("F", "G", "S", 0.5)]
+    assert values(taxonomy.deepest_path(scores, "id").na.fill("-"), "id", "family", "genre", "subgenre") == [("t", "F", "G", "S"), ("u", "-", "-", "-")]
+
+
+def test_nearest_of_a_group_as_by_brute_force(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"g{i % 7}", float((i * 37) % 400) / 3 if i % 11 else None) for i in range(600)]
+    hits = [(f"h{i:03}", "hot" if i % 3 == 0 else f"g{i % 5}", float((i * 53) % 500) / 4) for i in range(90)] + [("a", None, 1.0), ("b", "g1", None)]
+    q, h = spark.createDataFrame(rows, "id int, g string, v double"), spark.createDataFrame(hits, "hit string, g string, v double")
+    got = {r["id"]: (r["gap"], r["hit"]) for r in linkage.nearest_in_group(q, "id", h, "hit", "g", "v").collect()}
+    want = {}
+    for i, g, v in rows:
+        near = sorted((round(abs(x - v), 6), n) for n, k, x in hits if k == g and x is not None and v is not None)
+        if near:
+            want[i] = near[0]
+    assert got == want
+    assert linkage.nearest_in_group(q, "id", h.limit(0), "hit", "g", "v").count() == 0

@@ -210,3 +210,30 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in the given order."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__p", F.row_number().over(w)).where("__p = 1").drop("__p")
+
+
+def nearest_in_group(queries: DataFrame, query_id: str, hits: DataFrame, hit_id: str, group: str, value: str, band: float = 5.0) -> DataFrame:
+    """Rows (query_id, hit_id, gap): for each query the hit of its group with the nearest value, the smaller id on ties; queries without a hit, group or
+    value give none.
+
+    Values are cut into bands. A query meets the neighbours in its own band, and the last and first hit of the nearest bands with hits on either side,
+    which one row a band tells; no pair of a group is formed, and a group of any size is as many tasks as it has bands.
+    """
+    at = F.floor(F.col(value) / F.lit(band))
+    h = hits.where(F.col(group).isNotNull() & F.col(value).isNotNull()).groupBy(group, value).agg(F.min(hit_id).alias("__hit")).withColumn("__band", at).withColumn("__x", F.struct(F.col(value).alias("v"), F.col("__hit").alias("h")))
+    q = queries.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(query_id, group, value, at.alias("__band"))
+    edges = h.groupBy(group, "__band").agg(F.min("__x").alias("low"), F.max("__x").alias("high"))
+    bands = q.select(group, "__band").distinct().join(edges, [group, "__band"], "full")
+    w = Window.partitionBy(group).orderBy("__band")
+    around = bands.select(
+        group, "__band", F.last("high", True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), F.first("low", True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__after")
+    )
+    none = F.lit(None).cast(queries.schema[query_id].dataType)
+    both = q.select(query_id, group, "__band", value, F.lit(None).cast(h.schema["__x"].dataType).alias("__x")).unionByName(h.select(none.alias(query_id), group, "__band", value, "__x"))
+    inner = Window.partitionBy(group, "__band").orderBy(value)
+    near = both.select(
+        query_id, group, "__band", value, F.last("__x", True).over(inner.rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("__own_before"), F.first("__x", True).over(inner.rangeBetween(Window.currentRow, Window.unboundedFollowing)).alias("__own_after")
+    ).where(F.col(query_id).isNotNull()).join(around, [group, "__band"])
+    gap = lambda x: F.struct(F.round(F.abs(x["v"] - F.col(value)), 6).alias("gap"), x["h"].alias("h"))
+    said = F.array_sort(F.transform(F.array_compact(F.array(*[F.col(c) for c in ("__own_before", "__own_after", "__before", "__after")])), gap))
+    return near.select(query_id, F.get(said, F.lit(0)).alias("x")).where("x is not null").select(query_id, F.col("x.h").alias(hit_id), F.col("x.gap").alias("gap"))

@@ -77,3 +77,19 @@ def coverage(rows: DataFrame, id_col: str, columns: list[str]) -> DataFrame:
     one = rows.agg(F.count(id_col).alias("__n"), *filled)
     stacked = one.select("__n", F.explode(F.array(*[F.struct(F.lit(c).alias("layer"), F.col(c).alias("filled")) for c in columns])).alias("x"))
     return stacked.select("x.layer", "x.filled", F.round(F.col("x.filled") / F.col("__n"), 6).alias("share"))
+
+
+def collapse_guard(fit, labels_of, largest: float = 0.20, tries: int = 4):
+    """(model, predictions, share): fit(seed) is called with other seeds, `tries` times at most, until no label holds more than `largest` of the
+    predictions labels_of(model), a DataFrame with a column label; the attempt of the smallest largest label counts where none is good enough."""
+    best = None
+    for seed in range(tries):
+        model = fit(seed)
+        said = labels_of(model)
+        counts = said.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("top"), F.sum("n").alias("n")).collect()[0]
+        share = (counts["top"] or 0) / max(1, counts["n"] or 0)
+        if best is None or share < best[2]:
+            best = (model, said, share)
+        if share <= largest:
+            break
+    return best

@@ -33,6 +33,39 @@ def level_scores(evidence: DataFrame, id_col: str, family: str, genre: str, weig
     return genres.join(families, [id_col, family])
 
 
+# fixed values: what an item of evidence adds to family, genre and subgenre, by the deepest level it names; broad subgenres named letter for letter add less
+SHARES = {"family": (1.0, 0.0, 0.0), "genre": (0.30, 1.0, 0.0), "subgenre": (0.22, 0.52, 1.0), "broad": (0.28, 0.78, 0.42)}
+
+
+def path_scores(evidence: DataFrame, id_col: str, family: str, genre: str, subgenre: str, delta: str, broad: str | None = None) -> DataFrame:
+    """Rows (id, family, genre, subgenre, score): evidence added up on three levels; genre and subgenre are null on the levels above theirs.
+
+    An item without a genre counts for its family, one without a subgenre for genre and family, by SHARES; items without a family or of a delta of 0 or
+    less count for nothing. Each item becomes a row a level before they are added up.
+    """
+    f, g, s = F.col(family), F.col(genre), F.col(subgenre)
+    level = F.when(g.isNull(), "family").when(s.isNull(), "genre").when(F.coalesce(F.col(broad), F.lit(False)) if broad else F.lit(False), "broad").otherwise("subgenre")
+    share = lambda i: F.create_map(*[F.lit(x) for k, v in SHARES.items() for x in (k, v[i])])[level]
+    nothing = F.lit(None).cast("string")
+    rows = F.array(
+        F.struct(f.alias("family"), nothing.alias("genre"), nothing.alias("subgenre"), (F.col(delta) * share(0)).alias("score")), F.struct(f.alias("family"), g.alias("genre"), nothing.alias("subgenre"), (F.col(delta) * share(1)).alias("score")),
+        F.struct(f.alias("family"), g.alias("genre"), s.alias("subgenre"), (F.col(delta) * share(2)).alias("score")),
+    )
+    each = evidence.where(f.isNotNull() & (F.col(delta) > 0)).select(id_col, F.explode(rows).alias("x")).select(id_col, "x.*").where("score > 0")
+    return each.groupBy(id_col, "family", "genre", "subgenre").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
+def deepest_path(scores: DataFrame, id_col: str, least: tuple[float, float, float] = (0.25, 0.26, 0.26)) -> DataFrame:
+    """Rows (id, family, genre, subgenre, family_score): from path_scores the best family of at least least[0], inside it the best genre of at least least[1],
+    inside that the best subgenre of at least least[2]; levels that miss their threshold are null, ties go to the first name."""
+    best = lambda name: F.min_by(F.struct(name, "score"), F.struct((-F.col("score")).alias("s"), name))
+    top = scores.where("genre is null and score >= %f" % least[0]).groupBy(id_col).agg(best("family").alias("x")).select(id_col, F.col("x.family").alias("family"), F.col("x.score").alias("family_score"))
+    second = scores.where("genre is not null and subgenre is null and score >= %f" % least[1]).groupBy(id_col, "family").agg(best("genre")["genre"].alias("genre"))
+    third = scores.where("subgenre is not null and score >= %f" % least[2]).groupBy(id_col, "family", "genre").agg(best("subgenre")["subgenre"].alias("subgenre"))
+    ids = scores.select(id_col).distinct()
+    return ids.join(top, id_col, "left").join(second, [id_col, "family"], "left").join(third, [id_col, "family", "genre"], "left").select(id_col, "family", "genre", "subgenre", "family_score")
+
+
 def selection(scores: DataFrame, id_col: str, family: str, genre: str) -> DataFrame:
     """Rows (id, family, genre, score, margin, warning): the best family by its score and 0.22 of its best genre's, then that genre.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracklattice.functions import codes
 from tracklattice.functions.music import tempo
-from tracklattice.operators import exchange, features
+from tracklattice.operators import exchange, features, linkage
 from tracklattice.plans.coding import _LINE, _READ, _SAID, _TOKEN, _said, comment_lines
 from tracklattice.plans.registry import query
 from tracklattice.session import table
@@ -305,3 +305,52 @@ def payload_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = answers.select("event_id", "user_id", read["result"]["track"].alias("t")).withColumn("a", F.map_from_entries("t.audio_analysis"))
     side = F.when(F.col("a")["mode"] == "0", "A").otherwise("B")
     return flat.select(F.concat(F.lit("OBS-service-"), F.col("event_id")).alias("observation_id"), "user_id", F.concat(F.col("t.number").cast("string"), side).alias("key"), F.col("a")["valence"].cast("double").alias("valence"))
+
+
+_LEVELS = f"""ev AS (SELECT o.track_id, g.family, CASE WHEN length(o.genre) % 7 > 0 THEN o.genre END AS genre, CASE WHEN length(o.genre) % 7 > 0 AND length(o.genre) % 3 > 0 THEN g.aliases[1] END AS sub, length(o.genre) % 2 = 0 AS broad,
+  CAST(CASE lower(trim(source_system)) WHEN 'manual' THEN 1.0 WHEN 'rekordbox' THEN 0.75 WHEN 'tag' THEN 0.6 ELSE 0.45 END AS DOUBLE) AS d FROM source_observations o JOIN genre_reference g ON o.genre = g.genre WHERE o.track_id IS NOT NULL),
+l AS (SELECT *, CASE WHEN genre IS NULL THEN 1 WHEN sub IS NULL THEN 2 WHEN broad THEN 4 ELSE 3 END AS lv FROM ev),
+x AS (SELECT track_id, family, NULL AS genre, NULL AS sub, d * [1.0, 0.30, 0.22, 0.28][lv] AS s FROM l UNION ALL SELECT track_id, family, genre, NULL, d * [0, 1.0, 0.52, 0.78][lv] FROM l WHERE lv > 1 UNION ALL SELECT track_id, family, genre, sub, d * [0, 0, 1.0, 0.42][lv] FROM l WHERE lv > 2),
+p AS (SELECT track_id, family, genre, sub, round(CAST(sum(s) AS DOUBLE), 6) AS score FROM x GROUP BY 1, 2, 3, 4)"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracklattice.operators import taxonomy
+
+    n = F.length("genre")
+    weight = F.coalesce(F.create_map(*[F.lit(x) for kv in (("manual", 1.0), ("rekordbox", 0.75), ("tag", 0.6)) for x in kv])[F.lower(F.trim("source_system"))], F.lit(0.45))
+    ref = F.broadcast(table(spark, sf_dir, "genre_reference").select("genre", "family", F.get("aliases", F.lit(0)).alias("alias")))  # the reference list is fixed
+    o = table(spark, sf_dir, "source_observations").where("track_id is not null").join(ref, "genre")
+    ev = o.select("track_id", "family", F.when(n % 7 > 0, F.col("genre")).alias("g"), F.when((n % 7 > 0) & (n % 3 > 0), F.col("alias")).alias("sub"), (n % 2 == 0).alias("broad"), weight.alias("d"))
+    return taxonomy.path_scores(ev, "track_id", "family", "g", "sub", "d", "broad")
+
+
+@query(f"WITH {_LEVELS} SELECT track_id, family, genre, sub AS subgenre, score FROM p")
+def taxonomy_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence added up on three levels, each level by its share."""
+    return _paths(spark, sf_dir)
+
+
+@query(f"""
+WITH {_LEVELS}, f AS (SELECT track_id, arg_min(family, {{'s': -score, 'n': family}}) AS family, max(score) AS family_score FROM p WHERE genre IS NULL AND score >= 0.25 GROUP BY 1),
+g AS (SELECT track_id, family, arg_min(genre, {{'s': -score, 'n': genre}}) AS genre FROM p WHERE genre IS NOT NULL AND sub IS NULL AND score >= 0.26 GROUP BY 1, 2), s AS (SELECT track_id, family, genre, arg_min(sub, {{'s': -score, 'n': sub}}) AS subgenre FROM p WHERE sub IS NOT NULL AND score >= 0.26 GROUP BY 1, 2, 3)
+SELECT i.track_id, f.family, g.genre, s.subgenre, f.family_score FROM (SELECT DISTINCT track_id FROM p) i LEFT JOIN f USING (track_id) LEFT JOIN g ON g.track_id = i.track_id AND g.family = f.family LEFT JOIN s ON s.track_id = i.track_id AND s.family = g.family AND s.genre = g.genre
+""")
+def three_level_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family, genre and subgenre of each track, each above its threshold inside the one before."""
+    from tracklattice.operators import taxonomy
+
+    return taxonomy.deepest_path(_paths(spark, sf_dir), "track_id")
+
+
+@query("""
+WITH t AS (SELECT track_id, lower(trim(title_canonical)) AS k, duration_sec_canonical AS d, nullif(trim(isrc_canonical), '') AS isrc FROM tracks_master), c AS (SELECT k, d, isrc FROM t WHERE regexp_matches(isrc, '^[A-Z]{2}[A-Z0-9]{3}[0-9]{7}$')),
+b AS (SELECT t.track_id, arg_min(c.isrc, {'g': round(abs(t.d - c.d), 6), 'i': c.isrc}) AS found FROM t JOIN c ON t.k = c.k WHERE t.isrc IS NULL AND t.d > 0 AND c.d > 0 GROUP BY 1)
+SELECT t.track_id, coalesce(t.isrc, b.found) AS isrc, CASE WHEN t.isrc IS NOT NULL THEN 'own' WHEN b.found IS NOT NULL THEN 'found' ELSE 'none' END AS source FROM t LEFT JOIN b USING (track_id)
+""")
+def isrc_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing recording codes filled from the hit of the same title whose duration is nearest."""
+    t = table(spark, sf_dir, "tracks_master").select("track_id", F.lower(F.trim("title_canonical")).alias("k"), F.col("duration_sec_canonical").alias("d"), F.nullif(F.trim("isrc_canonical"), F.lit("")).alias("isrc"))
+    hits = t.where(F.col("isrc").rlike("^[A-Z]{2}[A-Z0-9]{3}[0-9]{7}$") & (F.col("d") > 0)).select("k", "d", F.col("isrc").alias("found"))
+    found = linkage.nearest_in_group(t.where("isrc is null and d > 0"), "track_id", hits, "found", "k", "d")
+    return t.join(found, "track_id", "left").select("track_id", F.coalesce("isrc", "found").alias("isrc"), F.when(F.col("isrc").isNotNull(), "own").when(F.col("found").isNotNull(), "found").otherwise("none").alias("source"))
