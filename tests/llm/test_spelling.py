@@ -1,5 +1,9 @@
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from tracklattice.llm import filters
 from tracklattice.llm import spelling as S
 from tracklattice.llm.text import typo_distance
 
@@ -46,3 +50,14 @@ def test_corrected_by_map_and_by_join(spark, monkeypatch):
         monkeypatch.setattr(S, "SMALL_FIXES", most)
         assert {r["id"]: (r["w"], r["x"]) for r in S.corrected(rows, ["w"], fixes, "id").collect()} == want
         assert S.corrected(rows, ["w"], fixes.limit(0), "id").count() == 3
+
+
+def test_filter_holds_all_keys_and_few_others(spark, monkeypatch):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
+    got = filters.filter_of(keys)
+    own = np.array([r["key"] for r in keys.collect()], dtype=np.int64).view(np.uint64)
+    others = np.random.default_rng(0).integers(0, 2**63, 20_000, dtype=np.uint64)
+    assert got.holds(own).all() and got.holds(others).mean() < 0.01
+    monkeypatch.setattr(filters, "MOST_BITS", 1 << 12)
+    assert filters.filter_of(keys).holds(others).all()
+    assert not filters.filter_of(keys.limit(0)).holds(others).any()

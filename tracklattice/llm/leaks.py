@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklattice.llm.filters import Bits, filter_of
 from tracklattice.llm.text import fold
 from tracklattice.session import materialise
 
@@ -31,8 +32,6 @@ WIDE_WINDOW = 10
 #: words that may stand between two parts of a passage: one foreign sentence
 FOREIGN = 60
 SMALL_GAP = 6
-#: bits of the filter that windows of the corpus pass before they are shuffled; beyond so many a larger evaluation set lets more windows through
-MOST_BITS = 1 << 27
 NUMBER, UNIT, NAME = 1, 2, 3
 # fixed values: units of measure and counting words of the four languages
 UNITS = frozenset(
@@ -132,32 +131,6 @@ class Templates:
                 yield w, _mixed(template[w] + _mixed(value[at[w] + k]) * np.uint64(2 * k + 3))
 
 
-class Bits:
-    """Set of 64-bit keys that lets a few others through as well; of bounded size."""
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-        self.mask = np.uint64(len(bits) * 8 - 1)
-
-    @classmethod
-    def empty(cls, keys: int) -> Bits:
-        return cls(np.zeros(min(MOST_BITS, max(1 << 16, 1 << (96 * keys).bit_length())) // 8, np.uint8))
-
-    def _at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return keys & self.mask, (keys >> np.uint64(33)) & self.mask
-
-    def add(self, keys: np.ndarray) -> None:
-        for h in self._at(keys):
-            np.bitwise_or.at(self.bits, (h >> np.uint64(3)).astype(np.int64), (1 << (h & np.uint64(7)).astype(np.uint8)).astype(np.uint8))
-
-    def holds(self, keys: np.ndarray) -> np.ndarray:
-        a, b = self._at(keys)
-        ok = (self.bits[(a >> np.uint64(3)).astype(np.int64)] >> (a & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        at = np.flatnonzero(ok)
-        ok[at] = (self.bits[(b[at] >> np.uint64(3)).astype(np.int64)] >> (b[at] & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return ok
-
-
 def _item_tokens(items: DataFrame, item_col: str, item_text: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -204,22 +177,6 @@ def _rarest(plain: DataFrame) -> DataFrame:
     return lists.select("item_id", F.explode(F.slice("keys", F.lit(1), F.size("keys") - need + 1)).alias("x")).select(F.col("x.key").alias("key"), "item_id")
 
 
-def _filter_of(keys: DataFrame) -> Bits:
-    n = keys.count()
-    size = len(Bits.empty(n).bits) // 8
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = Bits(np.zeros(size * 8, np.uint8))
-        for pdf in batches:
-            bits.add(pdf["key"].to_numpy().view(np.uint64))
-        yield pd.DataFrame({"bits": [bits.bits.tobytes()]})
-
-    out = Bits(np.zeros(size * 8, np.uint8))
-    for r in keys.select("key").coalesce(8).mapInPandas(run, "bits binary").toLocalIterator():
-        out.bits |= np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def _hits(src: DataFrame, frame, bits) -> DataFrame:
     """Rows (doc_id, text, at, keys) of the texts with at least two windows whose key may be one of an item."""
 
@@ -417,7 +374,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
     keys = materialise(_item_keys(own, frame), "item-windows")
     filled = keys.where("slots > 0").select("key", "item_id", "at", "slots")
     wanted = materialise(filled.unionByName(_rarest(keys.where("slots = 0")).select("key", "item_id", F.lit(-1).alias("at"), F.lit(0).alias("slots"))), "wanted")
-    bits = spark.sparkContext.broadcast(_filter_of(wanted))
+    bits = spark.sparkContext.broadcast(filter_of(wanted))
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     hits = materialise(_hits(src, frame, bits).withColumn("uid", F.monotonically_increasing_id()), "hits")
     each = hits.select("uid", F.explode(F.arrays_zip(F.col("at").alias("place"), "keys")).alias("x")).select("uid", "x.place", F.col("x.keys").alias("key"))

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklattice.llm.filters import filter_of
 from tracklattice.llm.text import typo_distance
 
 #: a word is taken for a misspelling of one that is so many times as frequent
@@ -174,7 +175,9 @@ def near_equal(strings: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for length in range(n - edits, n + (edits if marked else 0) + 1):
                         out += [h for c in choices for m in moves[c, n - length] if (h := codes(texts, length, c, m, prefix)) is not None]
-                yield pd.DataFrame({"code": np.concatenate(out).view(np.int64), "a": np.tile(ids, len(out))})
+                code, owner = np.concatenate(out), np.tile(ids, len(out))
+                may = bits.value.holds(code)
+                yield pd.DataFrame({"code": code[may].view(np.int64), "a": owner[may]})
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -183,8 +186,9 @@ def near_equal(strings: DataFrame, edits: int = MOST_EDITS) -> DataFrame:
 
     long = strings.where((F.length("s") > 3 * edits + 2)).withColumn("id", F.xxhash64("s"))
     long = long.repartition(int(strings.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few bytes, but many codes to make
-    left = (long.where("probe") if marked else long).select("id", "s").mapInPandas(probe, "code long, a long")
     right = long.select("id", "s").mapInPandas(index, "code long, b long")
+    bits = strings.sparkSession.sparkContext.broadcast(filter_of(right.select(F.col("code").alias("key"))))  # codes that no string has are not shuffled
+    left = (long.where("probe") if marked else long).select("id", "s").mapInPandas(probe, "code long, a long")
     met = left.join(right, "code").where("a <> b").select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
     met = met.join(long.select(F.col("id").alias("x"), F.col("s").alias("a")), "x").join(long.select(F.col("id").alias("y"), F.col("s").alias("b")), "y")
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
