@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklattice.llm import spelling
+from tracklattice.llm.filters import filter_of
 from tracklattice.llm.text import fold, words
 from tracklattice.session import materialise
 
@@ -207,9 +208,13 @@ def _spread(pdf: pd.DataFrame, name: str, keys: list[set[int]]) -> pd.DataFrame:
     return pd.DataFrame({name: np.repeat(pdf[name].to_numpy(), n), "kind": np.repeat(pdf["kind"].to_numpy(), n), "key": np.fromiter((x for k in keys for x in k), np.int64, sum(n))})
 
 
-def _playlist_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield _spread(pdf, "p", [playlist_keys(t, v, m, [*m, *g, *j], d) for t, v, m, g, j, d in zip(pdf["t"], pdf["v"], pdf["m"], pdf["g"], pdf["j"], pdf["d"])])
+def _playlist_keys(bits):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = _spread(pdf, "p", [playlist_keys(t, v, m, [*m, *g, *j], d) for t, v, m, g, j, d in zip(pdf["t"], pdf["v"], pdf["m"], pdf["g"], pdf["j"], pdf["d"])])
+            yield out[bits.value.holds(out["key"].to_numpy().view(np.uint64))]
+
+    return run
 
 
 def _file_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -219,8 +224,9 @@ def _file_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _candidates(pc: DataFrame, fc: DataFrame) -> DataFrame:
     """Pairs (p, f) of classes that meet in a blocking pass."""
-    left = pc.select("p", "kind", "t", "v", "m", "g", "j", "d").mapInPandas(_playlist_keys, "p long, kind string, key long")
-    right = fc.select("f", "kind", "w", "wt", "d").mapInPandas(_file_keys, "f long, kind string, key long")
+    right = materialise(fc.select("f", "kind", "w", "wt", "d").mapInPandas(_file_keys, "f long, kind string, key long"), "file-keys")
+    bits = pc.sparkSession.sparkContext.broadcast(filter_of(right))  # keys that no file has are not shuffled
+    left = pc.select("p", "kind", "t", "v", "m", "g", "j", "d").mapInPandas(_playlist_keys(bits), "p long, kind string, key long")
     return left.join(right, ["key", "kind"]).select("p", "f").distinct()
 
 
