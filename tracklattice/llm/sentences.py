@@ -125,42 +125,50 @@ def runs(text: str) -> list[tuple[int, int, bool]]:
     return out
 
 
+_STOPS = frozenset(ENDERS + CLOSERS)
+_MAY_END = _STOPS | set(";;")
+
+
 def count_contexts(text: str, lang: str, into: Counter) -> None:
     """Adds (language, kind, left, next) counts of one text."""
+    keys = {lang, "*"} - {""}
+    unmarked = _UNMARKED.search(text) is not None
     for a, b, item in runs(text):
         if item:
             continue
         toks = text[a:b].split()
+        if unmarked:
+            for i, t in enumerate(toks):
+                t = t.rstrip(CLOSERS)
+                if t and _UNMARKED.match(t[-1]):
+                    for n in range(2, PARTICLE + 1):
+                        if len(t) >= n:
+                            into["*", "final" if i + 1 == len(toks) else "space", t[-n:], ""] += 1
+        prev_end, p = True, ""
         for i, t in enumerate(toks):
-            t = t.rstrip(CLOSERS)
-            if t and _UNMARKED.match(t[-1]):
-                for n in range(2, PARTICLE + 1):
-                    if len(t) >= n:
-                        into["*", "final" if i + 1 == len(toks) else "space", t[-n:], ""] += 1
-        prev_end = True
-        for i, t in enumerate(toks):
+            if i and p[-1] not in _MAY_END and t[0].islower():  # inside a sentence, and no word that could start one
+                prev_end, p = False, t
+                continue
             word = t.lstrip(_OPENERS)
             w = word.rstrip(ENDERS + CLOSERS + ",;:")
             kind = ""
             if i == 0:
                 kind = "sure" if len(toks) > 4 else ""
-            else:
-                p = toks[i - 1]
-                if _SURE.search(p):
-                    kind = "shout" if prev_end and p.endswith("!") and len(p) > 2 else "sure"
-                elif p.endswith("."):
-                    left = p[:-1].lstrip(_OPENERS)
-                    if left and left[-1] not in ENDERS + CLOSERS:
-                        left = "##" if left[-1].isdigit() else left
-                        nxt = "<o>" if not w[:1].isalnum() else "<l>" if w[:1].islower() else "<d>" if w[:1].isdigit() else w
-                        for key in {lang, "*"} - {""}:
-                            into[key, "period", left, nxt] += 1
-                elif p[-1] not in ENDERS + CLOSERS:
-                    kind = "mid"
+            elif p[-1] in _MAY_END and _SURE.search(p):
+                kind = "shout" if prev_end and p.endswith("!") and len(p) > 2 else "sure"
+            elif p.endswith("."):
+                left = p[:-1].lstrip(_OPENERS)
+                if left and left[-1] not in _STOPS:
+                    left = "##" if left[-1].isdigit() else left
+                    nxt = "<o>" if not w[:1].isalnum() else "<l>" if w[:1].islower() else "<d>" if w[:1].isdigit() else w
+                    for key in keys:
+                        into[key, "period", left, nxt] += 1
+            elif p[-1] not in _STOPS:
+                kind = "mid"
             if kind and w and w[0].isalpha() and not w[0].islower():
-                for key in {lang, "*"} - {""}:
+                for key in keys:
                     into[key, kind, "", w] += 1
-            prev_end = i == 0 or toks[i - 1][-1:] in ENDERS or toks[i - 1].rstrip(CLOSERS)[-1:] in ENDERS
+            prev_end, p = i == 0 or p[-1] in ENDERS or p.rstrip(CLOSERS)[-1:] in ENDERS, t
 
 
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 5) -> Model:
