@@ -109,11 +109,11 @@ def test_linked_groups_do_not_depend_on_the_size_of_blocks(spark):
 def test_coarse_merge_down_to_half_and_its_bound(spark, monkeypatch):
     df = spark.createDataFrame([(i, i // 2, [1.0, 0.1 * i, 0.0]) for i in range(12)], "vec_id long, label int, v array<double>")
     c = clusters.centres(df, "label", "v", 3)
-    merged = clusters.coarse_merge(c, "label")
+    merged = clusters.merged_groups(c, "label")
     assert len(set(merged.values())) == 3 and all(merged[m] == m for m in merged.values())
     monkeypatch.setattr(clusters, "MAX_MERGED", 2)
     with pytest.raises(ValueError):
-        clusters.coarse_merge(c, "label")
+        clusters.merged_groups(c, "label")
 
 
 def test_labels_of_any_length_are_matched(spark):
@@ -122,3 +122,41 @@ def test_labels_of_any_length_are_matched(spark):
     got = taxonomy.phrase_hits(docs, "d", "t", labels, "l", "w")
     assert sorted((r["d"], r["l"], r["hits"]) for r in got.collect()) == [(1, 1, 1), (1, 2, 1)]
     assert taxonomy.phrase_hits(docs, "d", "t", labels.limit(0), "l", "w").count() == 0
+
+
+def planted(sizes, dim=10, noise=0.02, seed=4):
+    rng = np.random.default_rng(seed)
+    rows, truth = [], []
+    for c, n in enumerate(sizes):
+        centre = rng.standard_normal(dim)
+        rows += [centre + noise * rng.standard_normal(dim) for _ in range(n)]
+        truth += [c] * n
+    return pd.DataFrame({"id": np.arange(len(rows)), "v": rows}), np.array(truth)
+
+
+def test_constrained_medoids_find_the_planted_groups():
+    df, truth = planted([8, 7, 9, 8])
+    got = clusters.constrained_medoids(df, "id", "v", np.zeros((32, 32), bool))
+    assert sorted(map(tuple, got.groupby("cluster")["id"].apply(list))) == [tuple(np.flatnonzero(truth == c)) for c in range(4)]
+
+
+def test_constraints_tiers_and_sizes():
+    df, truth = planted([10, 10])
+    n = 20
+    hard, relaxed = np.zeros((n, n), bool), np.zeros((n, n), bool)
+    hard[0, 1:10] = hard[1:10, 0] = True  # row 0 may not meet its own group
+    relaxed[10, 11:] = relaxed[11:, 10] = True  # row 10 should not, but would be alone
+    label = clusters.constrained_medoids(df, "id", "v", hard, relaxed, target=10, least=1)["cluster"].to_numpy()
+    assert not any(label[a] == label[b] for a in range(n) for b in range(n) if hard[a, b])
+    big, _ = planted([50])
+    got = clusters.constrained_medoids(big, "id", "v", np.zeros((50, 50), bool), target=50, most=30)
+    assert got.groupby("cluster").size().max() <= 50 and len(got) == 50
+    every = np.ones((6, 6), bool) & ~np.eye(6, dtype=bool)
+    assert clusters.constrained_medoids(planted([6])[0], "id", "v", every)["cluster"].nunique() == 6
+    assert len(clusters.constrained_medoids(planted([1])[0], "id", "v", np.zeros((1, 1), bool))) == 1
+    assert len(clusters.constrained_medoids(planted([2])[0], "id", "v", np.zeros((2, 2), bool))) == 2
+
+
+def test_silhouette_as_by_hand():
+    d = np.array([[0, 1, 4], [1, 0, 3], [4, 3, 0.0]])
+    assert clusters.silhouette_of(d, np.array([0, 0, 1])) == pytest.approx(((4 - 1) / 4 + (3 - 1) / 3 + 0) / 3)

@@ -81,20 +81,11 @@ def group_distances(c: DataFrame, group: str) -> DataFrame:
     return pairs.select("a", "b", (1 - vectors.dot(F.col("t_a"), F.col("t_b")) / (F.col("n_a") * F.col("n_b"))).alias("distance"))
 
 
-def coarse_merge(c: DataFrame, group: str, keep: int | None = None) -> dict:
-    """Old group -> merged group: the two nearest groups by mean cosine distance are joined until `keep` remain (half of them by default); a joined group
-    keeps the first one's distances. c comes from centres; of its rows, one a group, MAX_MERGED are allowed, which is checked.
-    """
-    if c.limit(MAX_MERGED + 1).count() > MAX_MERGED:
-        raise ValueError("more groups than MAX_MERGED")
-    rows = c.orderBy(group).toPandas()
-    names, n = rows[group].tolist(), rows["n"].to_numpy(dtype=float)
-    total = np.array(rows["total"].tolist(), dtype=float).reshape(len(rows), -1)
-    d = np.round(1 - total @ total.T / np.outer(n, n), 9)
-    d[np.tril_indices(len(d))] = np.inf
+def _merge(d: np.ndarray, names: list, keep: int) -> dict:
+    """Old name -> merged name; d is the upper triangle of the distances, infinite elsewhere."""
     label, alive = np.arange(len(names)), len(names)
     nearest = d.min(axis=1, initial=np.inf)
-    while alive > max(1, len(names) // 2 if keep is None else keep):
+    while alive > max(1, keep) and np.isfinite(nearest).any():
         a = int(nearest.argmin())
         b = int(d[a].argmin())
         label[label == b] = a
@@ -105,6 +96,31 @@ def coarse_merge(c: DataFrame, group: str, keep: int | None = None) -> dict:
     return {g: names[i] for g, i in zip(names, label)}
 
 
+def coarse_merge(distances: pd.DataFrame, groups: list, keep: int) -> dict:
+    """Old group -> merged group: the two nearest groups are joined until `keep` remain; a joined group keeps the first one's distances."""
+    names = sorted(groups)
+    at = {g: i for i, g in enumerate(names)}
+    d = np.full((len(names), len(names)), np.inf)
+    for a, b, x in distances[["a", "b", "distance"]].itertuples(index=False):
+        d[min(at[a], at[b]), max(at[a], at[b])] = x
+    return _merge(d, names, keep)
+
+
+def merged_groups(c: DataFrame, group: str, keep: int | None = None) -> dict:
+    """coarse_merge over the mean cosine distances of all groups of c, which comes from centres, down to half of them by default.
+
+    Of its rows, one a group, MAX_MERGED are allowed, which is checked: their sums meet the driver, and their distances are one matrix.
+    """
+    if c.limit(MAX_MERGED + 1).count() > MAX_MERGED:
+        raise ValueError("more groups than MAX_MERGED")
+    rows = c.orderBy(group).toPandas()
+    n = rows["n"].to_numpy(dtype=float)
+    total = np.array(rows["total"].tolist(), dtype=float).reshape(len(rows), -1)
+    d = np.round(1 - total @ total.T / np.outer(n, n), 9)
+    d[np.tril_indices(len(d))] = np.inf
+    return _merge(d, rows[group].tolist(), len(rows) // 2 if keep is None else keep)
+
+
 def silhouettes(rows: DataFrame, group: str, id_col: str, vector: str, dim: int) -> DataFrame:
     """Rows (id, group, silhouette) by cosine distance, from the sums of the groups; a member of a group of one has 0.
 
@@ -156,45 +172,117 @@ def constraint_counts(tracks: DataFrame, id_col: str, key: str, bpm: str, spread
     return cell.join(F.broadcast(per_cell), (F.col("k") == F.col("ka")) & (F.col("t") == F.col("ta"))).select(id_col, "hard", "relaxed")
 
 
-def constrained_medoids(block: pd.DataFrame, id_col: str, vector: str, forbidden: np.ndarray, size: int = 8, rounds: int = 20, largest: int = 20) -> pd.DataFrame:
-    """(id, cluster, medoid) of one block of rows by k-medoids under forbidden pairs; for use in applyInPandas on bounded blocks.
+class _Partition:
+    """Clusters that grow under constraints: for every row, which clusters hold a partner that it must not, or should not, meet."""
+
+    def __init__(self, hard: np.ndarray, relaxed: np.ndarray, room: int):
+        self.hard, self.relaxed = hard, relaxed
+        self.label = np.full(len(hard), -1)
+        self.banned, self.shunned = np.zeros((room, len(hard)), bool), np.zeros((room, len(hard)), bool)
+        self.count = 0
+
+    def add(self, i: int, c: int) -> None:
+        self.label[i] = c
+        self.count = max(self.count, c + 1)
+        self.banned[c] |= self.hard[i]
+        self.shunned[c] |= self.relaxed[i]
+
+    def place(self, i: int, near: np.ndarray) -> int | None:
+        """Nearest cluster without any conflict, then without a hard one; None where there is neither."""
+        for banned in (self.banned[: self.count, i] | self.shunned[: self.count, i], self.banned[: self.count, i]):
+            if not banned.all():
+                return int(np.where(banned, np.inf, near).argmin())
+        return None
 
-    Seeds are taken farthest first; rows go to the nearest medoid whose cluster holds no forbidden partner and fewer than
-    `largest` rows, and open a cluster of their own where there is none.
+
+def _medoid_rounds(d: np.ndarray, hard: np.ndarray, relaxed: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 50) -> np.ndarray:
+    """Labels of k-medoids under constraints: seeds by distance squared, rows nearest to a medoid first, clusters of their own where no other is allowed."""
+    n = len(d)
+    seeds = [int(rng.integers(n))]
+    while len(seeds) < k:
+        far = d[:, seeds].min(axis=1) ** 2
+        far[seeds] = 0
+        seeds.append(int(rng.choice(n, p=far / far.sum())) if far.sum() > 1e-12 else int(np.setdiff1d(np.arange(n), seeds)[0]))
+    last = None
+    for _ in range(rounds):
+        part, medoids = _Partition(hard, relaxed, n), list(dict.fromkeys(seeds))
+        for c, i in enumerate(medoids):
+            part.add(i, c)
+        for i in np.argsort(d[:, medoids].min(axis=1), kind="stable").tolist():
+            if part.label[i] < 0:
+                c = part.place(i, d[i, medoids])
+                if c is None:
+                    c = len(medoids)
+                    medoids.append(i)
+                part.add(i, c)
+        if last is not None and np.array_equal(last, part.label):
+            break
+        last = part.label
+        groups = [np.flatnonzero(last == c) for c in range(part.count)]
+        seeds = [int(g[d[np.ix_(g, g)].sum(axis=1).argmin()]) for g in groups]
+    return last
+
+
+def silhouette_of(d: np.ndarray, label: np.ndarray) -> float:
+    """Mean silhouette of labels 0..k-1 on a distance matrix; rows alone count 0."""
+    k = int(label.max()) + 1
+    member = np.zeros((len(d), k))
+    member[np.arange(len(d)), label] = 1
+    size, sums = member.sum(axis=0), d @ member
+    own = size[label]
+    inner = np.divide(sums[np.arange(len(d)), label], own - 1, out=np.zeros(len(d)), where=own > 1)
+    other = sums / np.maximum(size, 1)
+    other[np.arange(len(d)), label] = np.inf
+    outer = other.min(axis=1)
+    return float(np.where(own > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-12), 0.0).mean())
+
+
+def constrained_medoids(block: pd.DataFrame, id_col: str, vector: str, hard: np.ndarray, relaxed: np.ndarray | None = None, target: float = 8.0, least: int = 3, most: int = 20, seed: int = 42) -> pd.DataFrame:
+    """(id, cluster, medoid) of one block of rows by k-medoids under pairs that must not (hard) and should not (relaxed) share a cluster; for use in
+    applyInPandas on bounded blocks.
+
+    Three tiers: the nearest cluster without a conflict, the nearest without a hard one, a cluster of its own. k is tried from three under to three over
+    rows / target and chosen by silhouette less a tenth for every cluster of fewer than `least` or more than `most` rows; then clusters above `most` are
+    split in two and clusters under `least` join the nearest one, by mean distance, that no hard pair forbids.
     """
     v = np.array(block[vector].tolist(), dtype=float)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
     d = 1 - v @ v.T
+    np.fill_diagonal(d, 0.0)
     n = len(v)
-    k = max(1, -(-n // size))
-    seeds = [int(d.sum(axis=1).argmin())]
-    while len(seeds) < k:
-        seeds.append(int(np.min(d[:, seeds], axis=1).argmax()))
-    own = np.full(n, -1)
-    for _ in range(rounds):
-        groups: list[list[int]] = [[s] for s in seeds]
-        fresh = np.full(n, -1)
-        for c, s in enumerate(seeds):
-            fresh[s] = c
-        order = [int(i) for i in np.argsort(d[:, seeds].min(axis=1), kind="stable") if fresh[i] < 0]
-        for i in order:
-            for c in np.argsort(d[i, seeds], kind="stable"):
-                if len(groups[c]) < largest and not forbidden[i, groups[c]].any():
-                    fresh[i] = c
-                    groups[c].append(i)
-                    break
-            else:
-                fresh[i] = len(groups)
-                groups.append([i])
-                seeds = [*seeds, i]
-        seeds_new = [g[int(d[np.ix_(g, g)].sum(axis=1).argmin())] for g in groups]
-        if (fresh == own).all() and seeds_new == seeds:
-            break
-        own, seeds = fresh, list(dict.fromkeys(seeds_new))
+    relaxed = np.zeros((n, n), bool) if relaxed is None else relaxed
+    middle = max(2, -(-n // int(target)))
+    best, top = np.zeros(n, int), -np.inf
+    for k in range(max(2, middle - 3), middle + 4):
+        if k < n:
+            label = _medoid_rounds(d, hard, relaxed, k, np.random.default_rng(seed))
+            size = np.bincount(label)
+            score = silhouette_of(d, label) if 1 < len(size) < n else -1.0
+            score -= 0.1 * ((size < least) | (size > most)).sum()
+            if score > top:
+                best, top = label, score
+    if n > 1 and top == -np.inf:
+        best = _medoid_rounds(d, hard, relaxed, 1, np.random.default_rng(seed))
+    label = best.copy()
+    for c in range(label.max() + 1):
+        g = np.flatnonzero(label == c)
+        if len(g) > most:
+            halves = _medoid_rounds(d[np.ix_(g, g)], hard[np.ix_(g, g)], relaxed[np.ix_(g, g)], 2, np.random.default_rng(seed))
+            for h in range(1, halves.max() + 1):
+                label[g[halves == h]] = label.max() + 1
+    for c in range(label.max() + 1):
+        g = np.flatnonzero(label == c)
+        if not 0 < len(g) < least:
+            continue
+        names, size = np.unique(label, return_counts=True)
+        open_ = [x for x in names[size >= least] if x != c and not hard[np.ix_(g, label == x)].any()]
+        if open_:
+            label[g] = min(open_, key=lambda x: (d[np.ix_(g, label == x)].mean(), x))
+    label = np.unique(label, return_inverse=True)[1]
     ids = block[id_col].to_numpy()
-    groups_of = {c: np.flatnonzero(own == c) for c in np.unique(own)}
-    medoid = {c: ids[g[int(d[np.ix_(g, g)].sum(axis=1).argmin())]] for c, g in groups_of.items()}
-    return pd.DataFrame({id_col: ids, "cluster": own, "medoid": [medoid[c] for c in own]})
+    groups = [np.flatnonzero(label == c) for c in range(label.max() + 1)]
+    medoid = np.array([ids[g[int(d[np.ix_(g, g)].sum(axis=1).argmin())]] for g in groups])
+    return pd.DataFrame({id_col: ids, "cluster": label, "medoid": medoid[label]})
 
 
 def average_linkage(distance: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:

@@ -142,7 +142,7 @@ SELECT l.label, CASE WHEN l.label = m.b THEN m.a ELSE l.label END AS merged FROM
 def coarse_merge_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two nearest labels merged."""
     c = clusters.centres(table(spark, sf_dir, "embeddings"), "label", "embedding", 64)
-    label = clusters.coarse_merge(c, "label", c.count() - 1)
+    label = clusters.merged_groups(c, "label", c.count() - 1)
     return spark.createDataFrame(pd.DataFrame({"label": list(label), "merged": list(label.values())}).astype("int32"))
 
 
@@ -162,7 +162,7 @@ WITH {_U}, p AS (SELECT a.label AS a, b.label AS b, round(avg(1 - list_dot_produ
 def coarse_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels merged two by two until half of the ten remain."""
     c = clusters.centres(table(spark, sf_dir, "embeddings"), "label", "embedding", 64)
-    label = clusters.coarse_merge(c, "label")
+    label = clusters.merged_groups(c, "label")
     return spark.createDataFrame(pd.DataFrame({"label": list(label), "merged": list(label.values())}).astype("int32"))
 
 
@@ -219,14 +219,14 @@ def pca_project(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def constrained_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-medoids in bounded blocks of a label under forbidden pairs (here: rows of far-apart ids)."""
+    """k-medoids in bounded blocks of a label under pairs that must not, or should not, meet (here: by the distance of their ids)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         ids = pdf["vec_id"].to_numpy()
-        forbidden = np.abs(ids[:, None] - ids[None, :]) % 7 == 3
-        got = clusters.constrained_medoids(pdf, "vec_id", "embedding", forbidden)
+        apart = np.abs(ids[:, None] - ids[None, :]) % 7
+        got = clusters.constrained_medoids(pdf, "vec_id", "embedding", apart == 3, apart == 2)
         return got.assign(label=pdf["label"].to_numpy(), block=int(pdf["block"].iloc[0]))
 
     return clusters.in_blocks(e, "label", "vec_id").groupBy("label", "block").applyInPandas(run, "vec_id long, cluster long, medoid long, label int, block int")
