@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 #: bits of a filter at most (16 MB); beyond so many a larger key set lets more rows through, and none is lost
 MOST_BITS = 1 << 27
-PARTS = 8
+PARTS = 4
 
 
 class Bits:
@@ -22,7 +22,7 @@ class Bits:
 
     @classmethod
     def empty(cls, keys: int) -> Bits:
-        return cls(np.zeros(min(MOST_BITS, max(1 << 16, 1 << (96 * keys).bit_length())) // 8, np.uint8))
+        return cls(np.zeros(min(MOST_BITS, max(1 << 16, 1 << (48 * keys).bit_length())) // 8, np.uint8))
 
     def _at(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return keys & self.mask, (keys >> np.uint64(33)) & self.mask
