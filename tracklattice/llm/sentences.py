@@ -42,7 +42,7 @@ _UNMARKED = re.compile("[\u0e00-\u0e7f]")
 PARTICLE = 5
 #: log-likelihood ratio from which on a difference counts (one in a thousand by chance)
 RATIO = 10.83
-#: the same for words that start sentences, of which some are rare (one in twenty)
+#: the same for words that start sentences, of which some are rare, and for final particles, which stand before most other breaks as well (one in twenty)
 STARTER_RATIO = 3.84
 #: words of all lists together that the tasks may be sent; more raise an error
 MOST_WORDS = 500_000
@@ -234,7 +234,7 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least
     tails = counts.where("kind in ('final', 'space')").groupBy("word").pivot("kind", ["final", "space"]).agg(F.sum("n")).na.fill(0)
     all_tails = tails.where("length(word) = 2").agg(F.coalesce(F.sum("final"), F.lit(0)).alias("all_final"), F.coalesce(F.sum("space"), F.lit(0)).alias("all_space"))
     tails = tails.crossJoin(F.broadcast(all_tails))  # one row of totals
-    final = tails.where((likelihood_ratio("final", "all_final", "space", "all_space") >= RATIO) & (F.col("final") * F.col("all_space") > F.col("space") * F.col("all_final"))).select(F.lit("*").alias("lang"), "word", F.col("final").alias("n"))
+    final = tails.where((likelihood_ratio("final", "all_final", "space", "all_space") >= STARTER_RATIO) & (F.col("final") * F.col("all_space") > F.col("space") * F.col("all_final"))).select(F.lit("*").alias("lang"), "word", F.col("final").alias("n"))
     lists = None
     for name, found in (("abbreviations", left.where("short").select("lang", "word")), ("plain", plain.select("lang", "word")), ("after_number", number_words), ("after_shout", shout_words), ("final", final)):
         part = found.select(F.lit(name).alias("list"), "lang", "word", F.col("n") if name == "final" else F.lit(0).alias("n"))
