@@ -61,3 +61,23 @@ def test_filter_holds_all_keys_and_few_others(spark, monkeypatch):
     monkeypatch.setattr(filters, "MOST_BITS", 1 << 12)
     assert filters.filter_of(keys).holds(others).all()
     assert not filters.filter_of(keys.limit(0)).holds(others).any()
+
+
+def sent_to_driver(spark, after=-1):
+    """(last stage, bytes of the results of the stages after `after`)."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), context._jvm.java.util.ArrayList())
+    each = [(s.stageId(), s.resultSize()) for s in map(stages.apply, range(stages.size()))]
+    return max([after, *(i for i, _ in each)]), sum(n for i, n in each if i > after)
+
+
+def test_one_set_of_a_filter_comes_to_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(filters, "MOST_BITS", 1 << 21)
+    keys = spark.range(400_000).select(F.xxhash64("id").alias("key"))
+    want = filters.Bits.empty(400_000)
+    want.add(keys.toPandas()["key"].to_numpy().view(np.uint64))
+    last, _ = sent_to_driver(spark)
+    got = filters.filter_of(keys)
+    assert (got.bits == want.bits).all()
+    assert sent_to_driver(spark, last)[1] < 2 * len(got.bits)

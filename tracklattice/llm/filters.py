@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 #: bits of a filter at most (16 MB); beyond so many a larger key set lets more rows through, and none is lost
 MOST_BITS = 1 << 27
 PARTS = 4
+#: bytes of a filter that travel in one row
+SLICE = 1 << 16
 
 
 class Bits:
@@ -40,7 +42,8 @@ class Bits:
 
 
 def filter_of(keys: DataFrame) -> Bits:
-    """The filter of the column key. PARTS tasks send one set of its size each; so many keys that the filter would hold back little make one that lets all through."""
+    """The filter of the column key. PARTS tasks make one set of its size each, which are joined slice by slice before one set comes to the driver, a few slices
+    at a time; so many keys that the filter would hold back little make one that lets all through."""
     n = keys.count()
     if n > MOST_BITS // 4:
         return Bits(np.full(1 << 13, 255, np.uint8))
@@ -50,9 +53,17 @@ def filter_of(keys: DataFrame) -> Bits:
         bits = Bits(np.zeros(size, np.uint8))
         for pdf in batches:
             bits.add(pdf["key"].to_numpy().view(np.uint64))
-        yield pd.DataFrame({"bits": [bits.bits.tobytes()]})
+        for at in range(0, size, SLICE):
+            part = bits.bits[at : at + SLICE]
+            if part.any():
+                yield pd.DataFrame({"at": [at], "bits": [part.tobytes()]})
+
+    def joined(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]])
+        return pd.DataFrame({"at": pdf["at"].iloc[:1], "bits": [part.tobytes()]})
 
     out = Bits(np.zeros(size, np.uint8))
-    for r in keys.select("key").coalesce(PARTS).mapInPandas(run, "bits binary").collect():  # PARTS sets of at most 16 MB
-        out.bits |= np.frombuffer(r["bits"], np.uint8)
+    slices = keys.select("key").coalesce(PARTS).mapInPandas(run, "at long, bits binary").groupBy("at").applyInPandas(joined, "at long, bits binary")
+    for r in slices.toLocalIterator():
+        out.bits[r["at"] : r["at"] + SLICE] = np.frombuffer(r["bits"], np.uint8)
     return out
